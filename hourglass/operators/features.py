@@ -216,11 +216,52 @@ def seasonal_baselines(matrix: DataFrame, by: Sequence[str], *, block: int = BLO
     return framed.withColumn("pred_seasonal_24h", F.col("aqi_curr")).drop("__row")
 
 
-def feature_group() -> dict[str, str]:
-    """Ordered name patterns (SQL LIKE-free prefixes) that assign a feature to its group letter."""
-    return {
-        "network_": "G", "top_neighbor_": "G", "temp_": "F", "humidity_": "F", "wind_speed_": "F", "solar_rad_": "F",
-        "is_winter": "E", "is_summer": "E", "is_monsoon": "E", "is_post_monsoon": "E",
-        "hour": "D", "day_of_": "D", "month": "D", "is_weekend": "D", "sin_": "D", "cos_": "D",
-        "aqi_roll_": "C", "pm25_roll_": "C", "aqi_": "A",
-    }
+def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Unpivot features to (feature, v), exploding inside the row so nothing is shuffled."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    return df.select(*keep, F.inline(cells))
+
+
+def manifest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Group letter, present count and missing share per feature."""
+    counts = _long(df, columns).groupBy("feature").agg(
+        F.count("v").alias("non_null"), (100.0 * (F.count(F.lit(1)) - F.count("v")) / F.count(F.lit(1))).alias("missing_pct")
+    )
+    name = F.col("feature")
+    group = (
+        F.when(name.rlike("^(network_|top_neighbor_)"), "G")
+        .when(name.rlike("^(temp|humidity|wind_speed|solar_rad)_"), "F")
+        .when(name.rlike("^is_(winter|summer|monsoon|post_monsoon)$"), "E")
+        .when(name.rlike("^(hour|day_of_|month|is_weekend|sin_|cos_)"), "D")
+        .when(name.contains("_roll_"), "C")
+        .when(name.startswith("aqi_"), "A")
+        .otherwise("B")
+    )
+    return counts.select("feature", group.alias("feature_group"), "non_null", "missing_pct")
+
+
+def correlation_ranking(
+    df: DataFrame, columns: Sequence[str], targets: Mapping[int, str], *, min_pairs: int = 100, top: int | None = None
+) -> DataFrame:
+    """Pearson correlation of each feature with each target over complete pairs, ranked by absolute value.
+
+    The ranking runs over one row per (horizon, feature), a count fixed by the feature list.
+    """
+    pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).cast("double").alias("y")) for h, c in targets.items()])
+    long = _long(df.select("*", pairs.alias("__targets")), columns, ["__targets"]).where("v IS NOT NULL")
+    both = long.select("feature", "v", F.inline("__targets")).where("y IS NOT NULL")
+    stats = both.groupBy("horizon", "feature").agg(F.count(F.lit(1)).alias("pairs"), F.corr("v", "y").alias("r"))
+    stats = stats.where(F.col("pairs") > min_pairs).withColumn("abs_r", F.abs("r"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("horizon").orderBy(F.round("abs_r", 9).desc(), "feature")
+    ranked = stats.withColumn("position", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("position") <= top)
+
+
+def target_availability(df: DataFrame, entity: str, ts: str, targets: Mapping[str, str]) -> DataFrame:
+    """Present targets by (entity, month), entity, month and in total, in one pass over grouping sets."""
+    flat = df.select(entity, F.month(ts).alias("month"), *targets.values())
+    sets = [[F.col(entity), F.col("month")], [F.col(entity)], [F.col("month")], []]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.count(c).alias(n) for n, c in targets.items()]]
+    return flat.groupingSets(sets, F.col(entity), F.col("month")).agg(*aggs).select(entity, "month", "n", *targets)

@@ -12,3 +12,28 @@ def min_max_scale(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
     w = Window.partitionBy(*by)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return df.withColumn(out, (F.col(value) - low) / (high - low))
+
+
+def daily_means(df: DataFrame, by: Sequence[str], ts: str, values: dict[str, str], *, day: str = "day") -> DataFrame:
+    """Mean per local day (``values``: source -> output)."""
+    return df.groupBy(*by, F.to_date(ts).alias(day)).agg(*[F.avg(s).alias(o) for s, o in values.items()])
+
+
+def rolling_rows(df: DataFrame, by: Sequence[str], order: str, value: str, rows: int, out: str) -> DataFrame:
+    """Trailing mean over the last ``rows`` daily rows of a key (a daily series: 366 rows a year)."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(rows - 1), 0)
+    return df.withColumn(out, F.avg(value).over(w))
+
+
+def centred_mean(df: DataFrame, by: Sequence[str], value: str, width: int, min_valid: int, out: str) -> DataFrame:
+    """Mean of an even window: ``width / 2`` hours before and ``width / 2 - 1`` after."""
+    from .grid import HOUR
+    from .ordered import with_frames
+
+    half = width // 2
+
+    def build(f):
+        frame = f.between(-half, half - 1)
+        return {out: F.when(F.count(value).over(frame) >= min_valid, F.avg(value).over(frame))}
+
+    return with_frames(df, by, HOUR, build, behind=half, ahead=half)
