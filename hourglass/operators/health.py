@@ -105,16 +105,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def schema_differences(pairs: DataFrame, file: str, column: str, reference: str) -> DataFrame:
     """Columns each file adds to or lacks from the reference file; ``pairs`` holds distinct (file, column).
 
-    Per column the files that hold it are compared with the reference by counting, never by pairing files: a column of
-    the reference is lacking where a file's row for it is absent after the outer join of files with reference columns.
+    Files are never paired: each file's header is one array, compared with the reference header as a scalar.
     """
     wanted = pairs.where(F.col(file) == reference).select(column)
     others = pairs.where(F.col(file) != reference)
     added = others.join(wanted, column, "left_anti").select(file, column, F.lit("added").alias("change"))
-    # the reference's column names are one file's header, carried as one array per file instead of a product
     header = wanted.agg(F.sort_array(F.collect_set(column)).alias("__want"))
     held = others.groupBy(file).agg(F.collect_set(column).alias("__have"))
-    lacking = held.join(F.broadcast(header)).select(file, F.explode(F.array_except("__want", "__have")).alias(column))
+    lacking = held.select(file, F.explode(F.array_except(header.scalar(), F.col("__have"))).alias(column))
     return added.unionByName(lacking.withColumn("change", F.lit("removed")))
 
 

@@ -42,9 +42,7 @@ def value_counts(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in extra.items()])
     )
-    span = distinct.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    bucket = _bucket(F.col(value), F.col("__low"), F.col("__high"), widths)
-    laid = _attach(distinct, span, by).withColumn("__bucket", bucket).drop("__low", "__high")
+    laid = _lay_out(distinct, by, value, widths)
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = (
@@ -67,10 +65,15 @@ def value_counts(
     )
 
 
-def _attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
-    if by:
-        return df.join(per_group, list(by))
-    return df.join(F.broadcast(per_group))  # an ungrouped aggregate: exactly one row
+def _lay_out(distinct: DataFrame, by: Sequence[str], value: str, widths: int) -> DataFrame:
+    """Attach the bucket number; the group's range is one row per group, or two scalars without a group."""
+    low, high = F.min(value), F.max(value)
+    if not by:
+        ends = distinct.agg(low.alias("__low")).scalar(), distinct.agg(high.alias("__high")).scalar()
+        return distinct.withColumn("__bucket", _bucket(F.col(value), *ends, widths))
+    span = distinct.groupBy(*by).agg(low.alias("__low"), high.alias("__high"))
+    bucket = _bucket(F.col(value), F.col("__low"), F.col("__high"), widths)
+    return distinct.join(span, list(by)).withColumn("__bucket", bucket).drop("__low", "__high")
 
 
 def pick_quantiles(

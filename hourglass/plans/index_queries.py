@@ -236,11 +236,10 @@ def entity_one_hot(t: Tables):
 )
 def freshness_age(t: Tables):
     """Age of the newest reading per station, from the end of its hour, three hours after the last event."""
-    # scalar subquery: one row with the newest instant
-    now = t.events.agg(F.max("ts").alias("__m")).select((F.col("__m") + F.expr("INTERVAL 3 HOURS")).alias("now"))
+    newest_event = t.events.agg(F.max("ts").alias("m")).scalar()
+    now = F.date_trunc("second", newest_event + F.expr("INTERVAL 3 HOURS")).cast("timestamp_ntz")
     newest = b.readings_ts(t).groupBy("entity").agg(F.max("ts").alias("newest"))
-    aged = newest.join(F.broadcast(now))  # an ungrouped aggregate: exactly one row
-    return aged.select("entity", "newest", age_hours("newest", F.date_trunc("second", "now").cast("timestamp_ntz")).alias("age_hours"))
+    return newest.select("entity", "newest", age_hours("newest", now).alias("age_hours"))
 
 
 @query(
