@@ -37,3 +37,62 @@ def centred_mean(df: DataFrame, by: Sequence[str], value: str, width: int, min_v
         return {out: F.when(F.count(value).over(frame) >= min_valid, F.avg(value).over(frame))}
 
     return with_frames(df, by, HOUR, build, behind=half, ahead=half)
+
+
+def grouped_profile(
+    df: DataFrame, by: Sequence, *, means: dict[str, str], shares: dict[str, tuple[str, float]] | None = None, maxima: dict[str, str] | None = None,
+    stds: dict[str, str] | None = None, count: str | None = "obs_count", bounded: bool = True,
+) -> DataFrame:
+    """Counts, means, exact percentiles, maxima and standard deviations per group (output name -> source).
+
+    ``bounded`` states that a group holds at most one row per station and hour, so its size is limited by the calendar
+    and the built-in exact percentile is safe. Otherwise percentiles come from bucketed distinct-value counts.
+    """
+    aggs = [] if count is None else [F.count(F.lit(1)).alias(count)]
+    aggs += [F.avg(s).alias(o) for o, s in means.items()]
+    aggs += [F.max(s).alias(o) for o, s in (maxima or {}).items()]
+    aggs += [F.stddev_samp(s).alias(o) for o, s in (stds or {}).items()]
+    shares = shares or {}
+    if bounded:
+        return df.groupBy(*by).agg(*aggs, *[F.percentile(s, F.lit(p)).alias(o) for o, (s, p) in shares.items()])
+    from .ranks import quantiles
+
+    out = df.groupBy(*by).agg(*aggs)
+    sources: dict[str, dict[str, float]] = {}
+    for o, (s, p) in shares.items():
+        sources.setdefault(s, {})[o] = p
+    for s, probs in sources.items():
+        out = out.join(quantiles(df, by, s, probs), list(by), "left")
+    return out
+
+
+def rank_within(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Descending minimum-method rank of each value inside a small report group (output -> source)."""
+    cols = []
+    for o, s in values.items():
+        w = Window.partitionBy(*by).orderBy(F.col(s).desc_nulls_last())
+        cols.append(F.when(F.col(s).isNotNull(), F.rank().over(w)).alias(o))
+    return df.select("*", *cols)
+
+
+def spike_table(df: DataFrame, event: str, ts: str, baseline_hour: int, values: Sequence[str]) -> DataFrame:
+    """Peak hour of the first value, value at the baseline hour and surge multiplier, per event window.
+
+    The input is one network mean per event and hour.
+    """
+    lead = values[0]
+    base = {v: F.max(F.when(F.hour(ts) == baseline_hour, F.col(v))) for v in values}
+    aggs = [F.max_by(F.col(ts), F.col(lead)).alias("peak_time")]
+    for v in values:
+        aggs += [base[v].alias(f"{v}_baseline"), F.max(v).alias(f"{v}_peak"), (F.max(v) / base[v]).alias(f"{v}_multiplier")]
+    return df.groupBy(event).agg(*aggs)
+
+
+def category_counts(df: DataFrame, value: str) -> DataFrame:
+    """Rows per category with its order number."""
+    from ..functions.piecewise import CATEGORY_LABELS, category
+
+    label = category(value)
+    order = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_LABELS]), F.col("category"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(label.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("position", order.cast("int"))

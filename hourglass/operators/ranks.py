@@ -29,9 +29,10 @@ def _bucket(value: Column, low: Column, high: Column, widths: int) -> Column:
 
 
 def value_counts(
-    df: DataFrame, by: Sequence[str], value: str, totals: dict[str, Column] | None = None, *, widths: int = WIDTHS
+    df: DataFrame, by: Sequence[str], value: str, totals: dict[str, Column] | None = None, *, weight: Column | None = None,
+    widths: int = WIDTHS
 ) -> DataFrame:
-    """One row per (by, value) with its count ``n``, the rows ``below`` it and the group ``total``.
+    """One row per (by, value) with its count ``n`` (or summed ``weight``), the rows ``below`` it and the group ``total``.
 
     ``totals`` adds further sums accumulated the same way: for ``pos`` the columns ``pos``, ``pos_below``, ``pos_total``.
     """
@@ -40,7 +41,7 @@ def value_counts(
     distinct = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in extra.items()])
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"), *[F.sum(c).alias(name) for name, c in extra.items()])
     )
     laid = _lay_out(distinct, by, value, widths)
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
