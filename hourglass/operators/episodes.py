@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hours import hour_label
 from .grid import HOUR
-from .ordered import previous_row, row_index, running_total
+from .ordered import BLOCK_ROWS, row_index, running_total, with_frames
 
 
 def _islands(df: DataFrame, by: Sequence[str], value: str, threshold: float, max_gap: int) -> DataFrame:
-    """Exceeding rows numbered by island: a new island starts where more than ``max_gap`` rows lie between."""
+    """Exceeding rows numbered by island: a row opens a new island when none of the ``max_gap + 1`` rows before exceeds."""
     numbered = row_index(df.select(*by, HOUR, value), by, HOUR, "__row")
     high = numbered.where(F.col(value) >= threshold)
-    linked = previous_row(high, by, HOUR, {"__row": "__prev"})
-    starts = F.col("__prev").isNull() | (F.col("__row") - F.col("__prev") > max_gap + 1)
-    return running_total(linked, by, HOUR, starts.cast("int"), "island")
+    near = lambda f: {"__near": F.count(F.lit(1)).over(f.between(-(max_gap + 1), -1))}
+    linked = with_frames(high, by, "__row", near, behind=max_gap + 1, block=BLOCK_ROWS)
+    return running_total(linked, by, HOUR, (F.col("__near") == 0).cast("int"), "island")
 
 
 def runs_above(df: DataFrame, by: Sequence[str], value: str, threshold: float, *, min_rows: int = 6) -> DataFrame:
