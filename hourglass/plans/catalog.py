@@ -74,4 +74,4 @@ def load_all() -> dict[str, Query]:
     return CATALOG
 
 
-MODULES: list[str] = ["index_queries", "feature_queries", "cleaning_queries", "table_queries", "report_queries", "score_queries", "class_queries", "service_queries", "model_queries"]
+MODULES: list[str] = ["index_queries", "feature_queries", "cleaning_queries", "table_queries", "report_queries", "score_queries", "class_queries", "service_queries", "model_queries", "feed_queries"]
