@@ -94,12 +94,16 @@ def ppb_to_mass(pollutant: str, ppb: Column | str) -> Column:
     return mass / 1000.0 if pollutant == "co" else mass
 
 
-def valid_index(subs: dict[str, Column], min_present: int = 3, required: Sequence[str] = PARTICULATES) -> Column:
-    """True where at least ``min_present`` sub-indices exist and one of ``required`` is among them."""
-    present = sum((c.isNotNull().cast("int") for c in subs.values()), F.lit(0))
+def valid_index(sources: dict[str, Column | str], min_present: int = 3, required: Sequence[str] = PARTICULATES) -> Column:
+    """True where at least ``min_present`` concentrations exist and one of ``required`` is among them.
+
+    A sub-index exists exactly where its concentration does, so the concentrations are tested, not the long maps.
+    """
+    has = {p: to_column(c).isNotNull() & ~F.isnan(to_column(c)) for p, c in sources.items()}
+    present = sum((h.cast("int") for h in has.values()), F.lit(0))
     anchored = F.lit(False)
     for name in required:
-        anchored = anchored | subs[name].isNotNull()
+        anchored = anchored | has[name]
     return (present >= min_present) & anchored
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,33 +58,45 @@ def entity_features(
     Frames are clock-hour ranges, so the rows need not be densified. ``window`` keeps issue hours in [first, last]
     after the frames, and the current index is required.
     """
-    present = [c for c in (*measures, *weather.values()) if c in grid.columns]
-    absent = [c for c in (*measures, *weather.values()) if c not in grid.columns]
-    base = grid.select(*by, HOUR, index, *present, *[F.lit(None).cast("double").alias(c) for c in absent])
+    present = {c for c in (*measures, *weather.values()) if c in grid.columns}
+    base = grid.select(*by, HOUR, index, *sorted(present))
+    nothing = F.lit(None).cast("double")
+
+    def own(source: str, make: Callable[[], dict[str, Column]]) -> dict[str, Column]:
+        """Frames over a column the grid has; plain NULLs, not frames, for one it lacks."""
+        return make() if source in present else {}
 
     def build(f: Frames) -> dict[str, Column]:
         out = {"aqi_curr": F.col(index), **lag_columns(f, index, "aqi", INDEX_LAGS)}
         for m in measures:
-            out[f"{m}_curr"] = F.col(m)
-            out.update(lag_columns(f, m, m, MEASURE_LAGS))
+            out.update(own(m, lambda m=m: {f"{m}_now": F.col(m), **lag_columns(f, m, m, MEASURE_LAGS)}))
         out.update(statistic_columns(f, index, "aqi", STAT_WINDOWS))
-        out.update(statistic_columns(f, "pm25", "pm25", STAT_WINDOWS))
-        for short, column in weather.items():
-            out[f"{short}__curr"] = F.col(column)
-            out.update(lag_columns(f, column, short, WEATHER_LAGS))
-            out.update({f"{short}_roll_mean_{w}h": f.mean(column, w, 1) for w in WEATHER_WINDOWS})
-        for h in horizons:
-            out[f"target_aqi_{h}h"] = f.at(index, h)
-        for h in horizons:
-            out[f"target_pm25_{h}h"] = f.at("pm25", h)
+        out.update(own("pm25", lambda: statistic_columns(f, "pm25", "pm25", STAT_WINDOWS)))
+        for short, c in weather.items():
+            means = lambda short=short, c=c: {f"{short}_roll_mean_{w}h": f.mean(c, w, 1) for w in WEATHER_WINDOWS}
+            out.update(own(c, lambda short=short, c=c, means=means: {f"{short}_now": F.col(c), **lag_columns(f, c, short, WEATHER_LAGS), **means()}))
+        out.update({f"target_aqi_{h}h": f.at(index, h) for h in horizons})
+        out.update(own("pm25", lambda: {f"target_pm25_{h}h": f.at("pm25", h) for h in horizons}))
         return out
 
+    names = ["aqi_curr", *[f"aqi_lag_{k}h" for k in INDEX_LAGS]]
+    for m in measures:
+        names += [f"{m}_curr", *[f"{m}_lag_{k}h" for k in MEASURE_LAGS]]
+    names += [f"{p}_roll_{s}_{w}h" for p in ("aqi", "pm25") for w in STAT_WINDOWS for s in ("mean", "std", "min", "max")]
+    for short in weather:
+        names += [f"{short}_curr", *[f"{short}_lag_{k}h" for k in WEATHER_LAGS], *[f"{short}_roll_mean_{w}h" for w in WEATHER_WINDOWS]]
+    names += [f"target_{p}_{h}h" for p in ("aqi", "pm25") for h in horizons]
     keep = F.col(index).isNotNull()
     if window is not None:
         keep = keep & F.col(HOUR).between(*window)
-    framed = with_frames(base, by, HOUR, build, behind=max(INDEX_LAGS), ahead=max(horizons), block=block, keep=keep)
-    renamed = {f"{short}__curr": f"{short}_curr" for short in weather}
-    return framed.drop(index, *measures, *weather.values()).withColumnsRenamed(renamed)
+    framed = with_frames(base, by, HOUR, build, behind=max(INDEX_LAGS), ahead=max(horizons), block=block, keep=keep, spread=True)
+    made = set(framed.columns)
+
+    def cell(name: str) -> Column:
+        inner = name.removesuffix("_curr") + "_now" if name != "aqi_curr" and name.endswith("_curr") else name
+        return (F.col(inner) if inner in made else nothing).alias(name)
+
+    return framed.select(*by, HOUR, *[cell(n) for n in names])
 
 
 def leave_one_out(
@@ -198,7 +210,7 @@ def long_horizon_features(matrix: DataFrame, by: Sequence[str], *, block: int =
                 out[f"network_mean_{name}_lag_24h"] = f.at(f"network_mean_{name}_lag_1h", -23)
         return out
 
-    framed = with_frames(numbered, by, "__row", build, behind=168, block=block)
+    framed = with_frames(numbered, by, "__row", build, behind=168, block=block, spread=True)
     deltas = {
         "aqi_delta_24h": F.col("aqi_curr") - F.col("aqi_lag_24h"),
         "aqi_delta_48h": F.col("aqi_curr") - F.col("aqi_lag_48h"),

@@ -33,7 +33,8 @@ def hourly_index(
         grid, by, HOUR, lambda f: {c: f.mean(p, GAS_HOURS, GAS_MIN) for p, c in gases.items()}, behind=GAS_HOURS, block=block
     )
     subs = _sub_indices(gases)
-    value = F.when(valid_index(subs, min_pollutants), F.greatest(*subs.values()))
+    present = {p: gases.get(p, p) for p in POLLUTANTS}
+    value = F.when(valid_index(present, min_pollutants), F.greatest(*subs.values()))
     return framed.withColumn(out, value).drop(*gases.values())
 
 
@@ -64,7 +65,7 @@ def index_of_means(
 
     framed = with_frames(grid, by, HOUR, means, behind=INDEX_HOURS, block=block)
     subs = _sub_indices(names)
-    return framed.withColumn(out, F.when(valid_index(subs, min_pollutants), F.greatest(*subs.values()))).drop(*names.values())
+    return framed.withColumn(out, F.when(valid_index(names, min_pollutants), F.greatest(*subs.values()))).drop(*names.values())
 
 
 def nowcast(grid: DataFrame, by: Sequence[str], value: str, out: str, *, hours: int = 12, block: int | None = BLOCK_HOURS) -> DataFrame:

@@ -62,12 +62,15 @@ def with_frames(
     ahead: int = 0,
     block: int | None = BLOCK_HOURS,
     keep: Column | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Add frame expressions that look at most ``behind`` positions back and ``ahead`` positions forward.
 
     Rows near a block edge are copied into the neighbouring blocks, the frames run inside (by, block), and only
     the home copy of a row is kept, so a single long entity is spread over its blocks. The copies cost about
     (behind + ahead) / block extra rows. ``block=None`` runs one partition per key. ``keep`` filters after the frames.
+    ``spread`` keeps all shuffle partitions where many frames make few bytes expensive: an explicit partition number is
+    not merged by adaptive execution, and the hash layout is the one the window needs anyway.
     """
     if block is None:
         framed = Frames(Window.partitionBy(*by).orderBy(position))
@@ -76,6 +79,8 @@ def with_frames(
     first = F.floor((F.col(position) - ahead) / block)
     last = F.floor((F.col(position) + behind) / block)
     copies = df.select("*", F.floor(F.col(position) / block).alias(_HOME), F.explode(F.sequence(first, last)).alias(_BLOCK))
+    if spread:
+        copies = copies.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, _BLOCK)
     framed = Frames(Window.partitionBy(*by, _BLOCK).orderBy(position))
     out = copies.select("*", *[c.alias(n) for n, c in build(framed).items()]).where(F.col(_HOME) == F.col(_BLOCK))
     return (out if keep is None else out.where(keep)).drop(_HOME, _BLOCK)

@@ -55,15 +55,10 @@ def grouped_profile(
     shares = shares or {}
     if bounded:
         return df.groupBy(*by).agg(*aggs, *[F.percentile(s, F.lit(p)).alias(o) for o, (s, p) in shares.items()])
-    from .ranks import quantiles
+    from .ranks import wide_quantiles
 
     out = df.groupBy(*by).agg(*aggs)
-    sources: dict[str, dict[str, float]] = {}
-    for o, (s, p) in shares.items():
-        sources.setdefault(s, {})[o] = p
-    for s, probs in sources.items():
-        out = out.join(quantiles(df, by, s, probs), list(by), "left")
-    return out
+    return out.join(wide_quantiles(df, by, shares), list(by), "left")
 
 
 def rank_within(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:

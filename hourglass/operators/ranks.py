@@ -103,6 +103,21 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     return pick_quantiles(value_counts(df, by, value, widths=widths), by, value, probs)
 
 
+def wide_quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact percentiles of several columns at once: ``wanted`` maps an output name to (column, probability).
+
+    The columns are unpivoted inside the row and share one distinct-value table, then return to one row per group.
+    """
+    sources = list(dict.fromkeys(s for s, _ in wanted.values()))
+    cells = F.array(*[F.struct(F.lit(s).alias("__measure"), F.col(s).cast("double").alias("__value")) for s in sources])
+    long = df.select(*by, F.inline(cells))
+    probs = sorted({p for _, p in wanted.values()})
+    names = {p: f"__p{i}" for i, p in enumerate(probs)}
+    keys = [*by, "__measure"]
+    picked = pick_quantiles(value_counts(long, keys, "__value"), keys, "__value", {n: p for p, n in names.items()})
+    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("__measure") == s, F.col(names[p]))).alias(o) for o, (s, p) in wanted.items()])
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Rank 1..n with ties averaged, joined to every row with a value."""
     counts = value_counts(df, by, value)

@@ -20,12 +20,21 @@ def clustered_ols(df: DataFrame, outcome: str, regressors: Sequence[str], cluste
     cols = [outcome, *xs]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(cluster).alias("__g"), (F.col(effects) if effects else F.lit(0)).alias("__e"))
     rows = rows.dropna(subset=cols)
-    means = rows.groupBy("__e").agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
     grand = rows.agg(F.avg(outcome)).scalar()
-    centred = rows.join(means, "__e").select("__e", "__g", *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols], (F.col(outcome) - grand).alias("__y0"))
-    cross = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    m = centred.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("__e").alias("e"), F.count_distinct("__g").alias("g"), F.sum(F.col("__y0") * F.col("__y0")).alias("sst"), *cross
+    if effects:
+        means = rows.groupBy("__e").agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
+        joined = rows.join(means, "__e")
+        mean = {c: F.col(f"__m_{c}") for c in cols}
+    else:
+        # one intercept: its means are scalars, a join on a constant key would gather all rows in one task
+        joined, mean = rows, {c: rows.agg(F.avg(c)).scalar() for c in cols}
+    centred = joined.select("__e", "__g", *[(F.col(c) - mean[c]).alias(c) for c in cols], (F.col(outcome) - grand).alias("__y0"))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    cross = [F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"{i}_{j}") for i, j in pairs]
+    # summed per (cluster, effect) first, so the distinct counts run over groups, not over copies of the rows
+    cells = centred.groupBy("__g", "__e").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__y0") * F.col("__y0")).alias("sst"), *cross)
+    m = cells.agg(
+        F.sum("n").alias("n"), F.count_distinct("__e").alias("e"), F.count_distinct("__g").alias("g"), F.sum("sst").alias("sst"), *[F.sum(f"{i}_{j}").alias(f"{i}_{j}") for i, j in pairs]
     ).first()
     k = len(xs)
     full = np.array([[m[f"{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], dtype=float)
