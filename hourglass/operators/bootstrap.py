@@ -2,7 +2,7 @@
 
 Rows are reduced to one row of sums per (group, day) first. Each draw picks a day by integer arithmetic on (seed, draw,
 position), so draws are the same on every run and need no driver-side table; the draws are joined to the day sums by day number and
-added up, which touches draws x days rows, never draws x rows.
+added up, which touches draws x days rows of a group, never draws x rows.
 """
 
 from __future__ import annotations
@@ -37,15 +37,19 @@ def resample(
 ) -> DataFrame:
     """Totals of every draw: (by, draw, n, names...). A group has one row per day, so its days are numbered in a window.
 
-    The draws of a group are counted into (draw, day number) multiplicities before they meet the sums.
+    A draw depends only on the number of days, so the multiplicities (draw, day number) are made once per distinct
+    number of days, not once per group, and stay a small table next to the day sums.
     """
-    numbered = sums.withColumn("__no", (F.row_number().over(Window.partitionBy(*by).orderBy("day")) - 1).cast("long"))
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__days"))
-    opened = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    whole = Window.partitionBy(*by)
+    numbered = sums.select(
+        "*", (F.row_number().over(whole.orderBy("day")) - 1).cast("long").alias("__no"), F.count(F.lit(1)).over(whole).alias("__days")
+    )
+    lengths = numbered.select("__days").distinct()
+    opened = lengths.select("__days", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     opened = opened.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__days") - 1)).alias("__pos"))
-    picked = opened.select(*by, "draw", pick(F.col("draw"), F.col("__pos"), F.col("__days"), seed).alias("__no"))
-    times = picked.groupBy(*by, "draw", "__no").agg(F.count(F.lit(1)).alias("__times"))
-    joined = times.join(numbered.drop("day"), [*by, "__no"])
+    picked = opened.select("__days", "draw", pick(F.col("draw"), F.col("__pos"), F.col("__days"), seed).alias("__no"))
+    times = picked.groupBy("__days", "draw", "__no").agg(F.count(F.lit(1)).alias("__times"))
+    joined = numbered.drop("day").join(times, ["__days", "__no"])
     return joined.groupBy(*by, "draw").agg(*[F.sum(F.col(c) * F.col("__times")).alias(c) for c in ("n", *names)])
 
 

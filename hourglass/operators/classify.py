@@ -241,11 +241,12 @@ def persistence_band(train: DataFrame, rows: DataFrame, actual: str, current: st
     return rows.select("*", (F.col(current) + pick(low)).alias("band_low"), (F.col(current) + pick(high)).alias("band_high"))
 
 
-def neighbourhood_rate(train: DataFrame, rows: DataFrame, value: str, outcome: str, out: str, *, radius: float = 25.0, block: float = 8.0) -> DataFrame:
+def neighbourhood_rate(train: DataFrame, rows: DataFrame, value: str, outcome: str, out: str, *, radius: float = 25.0, block: float = 0.25) -> DataFrame:
     """Share of train rows within ``radius`` of the row's value that had the outcome, else the base rate.
 
     Counts up to any value come from cumulative distinct-value counts, so each distinct value needs two as-of lookups
-    (upper edge inclusive, lower edge exclusive) instead of a range join with its neighbours.
+    (upper edge inclusive, lower edge exclusive) instead of a range join with its neighbours. ``block`` is the width of
+    the value ranges the lookups are spread over.
     """
     c = value_counts(train, [], value, {"hit": F.col(outcome).cast("long")})
     steps = c.select(F.col(value).alias("__at"), (F.col("below") + F.col("n")).alias("__n"), (F.col("hit_below") + F.col("hit")).alias("__h"))

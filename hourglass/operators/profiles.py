@@ -62,12 +62,18 @@ def grouped_profile(
 
 
 def rank_within(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Descending minimum-method rank of each value inside a small report group (output -> source)."""
-    cols = []
+    """Descending minimum-method rank of each value inside its group (output -> source); missing values get none.
+
+    The rank is one more than the rows above, which the cumulative value counts give without sorting a group in one task.
+    """
+    from .ranks import value_counts
+
+    out = df
     for o, s in values.items():
-        w = Window.partitionBy(*by).orderBy(F.col(s).desc_nulls_last())
-        cols.append(F.when(F.col(s).isNotNull(), F.rank().over(w)).alias(o))
-    return df.select("*", *cols)
+        above = F.col("total") - F.col("below") - F.col("n")
+        ranks = value_counts(df, by, s).select(*by, s, (above + 1).cast("int").alias(o))
+        out = out.join(ranks, [*by, s], "left")
+    return out.select(*df.columns, *values)
 
 
 def spike_table(df: DataFrame, event: str, ts: str, baseline_hour: int, values: Sequence[str]) -> DataFrame:

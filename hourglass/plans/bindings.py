@@ -95,7 +95,7 @@ def interpolation_sql(x: str, xs, ys) -> str:
     """Piecewise-linear map of ``x`` as one CASE expression."""
     arms = [f"WHEN ({x}) IS NULL THEN NULL", f"WHEN ({x}) <= {xs[0]} THEN {ys[0]}::DOUBLE"]
     for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:], strict=False):
-        arms.append(f"WHEN ({x}) < {x1} THEN {y0} + ({y1} - {y0})::DOUBLE * (({x}) - {x0}) / ({x1} - {x0})::DOUBLE")
+        arms.append(f"WHEN ({x}) < {x1} THEN {(y1 - y0) / (x1 - x0)!r}::DOUBLE * (({x}) - {float(x0)!r}::DOUBLE) + {float(y0)!r}::DOUBLE")
     return f"(CASE {' '.join(arms)} ELSE {ys[-1]}::DOUBLE END)"
 
 

@@ -161,14 +161,14 @@ def reliability_table(t: Tables):
 
 @query(
     "neighbourhood_rate",
-    f"""WITH {_FH}, tr AS (SELECT round(c, 3) AS c, (y >= 250)::INT AS o FROM fh WHERE split = 'val'), te AS (SELECT entity, ts, round(c, 3) AS c FROM fh WHERE split = 'test')
-    SELECT te.entity, te.ts, coalesce(avg(tr.o), (SELECT avg(o) FROM tr)) AS rate FROM te LEFT JOIN tr ON round(tr.c - te.c, 3) BETWEEN -25 AND 25 GROUP BY ALL""",
+    f"""WITH {_FH}, tr AS (SELECT round((c + 1e-7) * 1000)::BIGINT AS c, (y >= 250)::INT AS o FROM fh WHERE split = 'val'), te AS (SELECT entity, ts, round((c + 1e-7) * 1000)::BIGINT AS c FROM fh WHERE split = 'test')
+    SELECT te.entity, te.ts, coalesce(avg(tr.o), (SELECT avg(o) FROM tr)) AS rate FROM te LEFT JOIN tr ON tr.c - te.c BETWEEN -25000 AND 25000 GROUP BY ALL""",
     "rate",
 )
 def neighbourhood_rate(t: Tables):
     """Event share among train rows within 25 of the current value (values on a 0.001 grid)."""
-    f = fh(t).select("entity", "ts", "split", F.round(F.col("c") * 1000).cast("long").alias("c"), (F.col("y") >= 250).alias("o"))
-    out = cl.neighbourhood_rate(f.where("split = 'val'"), f.where("split = 'test'"), "c", "o", "rate", radius=25000, block=8000)
+    f = fh(t).select("entity", "ts", "split", F.round((F.col("c") + 1e-7) * 1000).cast("long").alias("c"), (F.col("y") >= 250).alias("o"))
+    out = cl.neighbourhood_rate(f.where("split = 'val'"), f.where("split = 'test'"), "c", "o", "rate", radius=25000, block=250)
     return out.select("entity", "ts", "rate")
 
 
