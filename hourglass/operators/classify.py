@@ -245,19 +245,18 @@ def neighbourhood_rate(train: DataFrame, rows: DataFrame, value: str, outcome: s
     """Share of train rows within ``radius`` of the row's value that had the outcome, else the base rate.
 
     Counts up to any value come from cumulative distinct-value counts, so each distinct value needs two as-of lookups
-    (upper edge inclusive, lower edge exclusive) instead of a range join with its neighbours. ``block`` is the width of
+    (upper edge inclusive, lower edge exclusive) in one ordered pass, not a range join with its neighbours. ``block`` is the width of
     the value ranges the lookups are spread over.
     """
     c = value_counts(train, [], value, {"hit": F.col(outcome).cast("long")})
     steps = c.select(F.col(value).alias("__at"), (F.col("below") + F.col("n")).alias("__n"), (F.col("hit_below") + F.col("hit")).alias("__h"))
-    asked = rows.where(F.col(value).isNotNull()).select(value).distinct()
-    up = as_of(asked.withColumn("__x", F.col(value) + radius), steps, [], "__x", "__at", ["__n", "__h"], block=block).drop("as_of", "__x")
-    up = up.withColumnsRenamed({"__n": "__n1", "__h": "__h1"})
-    down = as_of(up.withColumn("__x", F.col(value) - radius), steps, [], "__x", "__at", ["__n", "__h"], block=block, include_equal=False).drop("as_of", "__x")
-    n = F.coalesce("__n1", F.lit(0)) - F.coalesce("__n", F.lit(0))
-    h = F.coalesce("__h1", F.lit(0)) - F.coalesce("__h", F.lit(0))
+    edges = F.array(F.struct(F.lit(True).alias("__up"), (F.col(value) + radius).alias("__x")), F.struct(F.lit(False).alias("__up"), (F.col(value) - radius).alias("__x")))
+    asked = rows.where(F.col(value).isNotNull()).select(value).distinct().select(value, F.inline(edges))
+    found = as_of(asked, steps, [], "__x", "__at", ["__n", "__h"], block=block, include_equal="__up")
+    signed = lambda c: F.sum(F.when(F.col("__up"), F.col(c)).otherwise(-F.col(c)))
+    near = found.groupBy(value).agg(F.coalesce(signed("__n"), F.lit(0)).alias("__near"), F.coalesce(signed("__h"), F.lit(0)).alias("__hits"))
     base = train.agg(F.avg(F.col(outcome).cast("double"))).scalar()
-    rate = down.select(value, F.when(n > 0, h / n).otherwise(base).alias(out))
+    rate = near.select(value, F.when(F.col("__near") > 0, F.col("__hits") / F.col("__near")).otherwise(base).alias(out))
     return rows.join(rate, value, "left")
 
 

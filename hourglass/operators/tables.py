@@ -92,16 +92,18 @@ def matured(forecasts: DataFrame, scores: DataFrame, actuals: Mapping[str, tuple
     return out
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_pos: str, right_pos: str, values: Sequence[str], *, block: int, include_equal: bool = True) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_pos: str, right_pos: str, values: Sequence[str], *, block: float, include_equal: bool | str = True) -> DataFrame:
     """Newest right row at or before each left row of the same key.
 
     Both sides are merged into one ordered stream; the last right value is carried inside a block of positions and the
     blocks of a key are linked through their last rows, so a hot key is spread over its blocks. Left positions may repeat.
+    ``include_equal`` may name a boolean left column that says per row whether an equal position counts.
     """
+    inclusive = F.col(include_equal) if isinstance(include_equal, str) else F.lit(include_equal)
     payload = F.struct(F.col(right_pos).alias("__at"), *values)
-    r = right.select(*by, F.col(right_pos).alias("__pos"), F.lit(0 if include_equal else 1).alias("__side"), payload.alias("__val"), F.lit(None).alias("__row"))
+    r = right.select(*by, F.col(right_pos).alias("__pos"), F.lit(1).alias("__side"), payload.alias("__val"), F.lit(None).alias("__row"))
     lrow = F.struct(*left.columns)
-    l = left.select(*by, F.col(left_pos).alias("__pos"), F.lit(1 if include_equal else 0).alias("__side"), F.lit(None).alias("__val"), lrow.alias("__row"))
+    l = left.select(*by, F.col(left_pos).alias("__pos"), F.when(inclusive, 2).otherwise(0).alias("__side"), F.lit(None).alias("__val"), lrow.alias("__row"))
     both = r.unionByName(l).withColumn("__blk", F.floor(F.col("__pos") / block))
     last = both.groupBy(*by, "__blk").agg(F.max_by("__val", F.when(F.col("__val").isNotNull(), F.col("__pos"))).alias("__edge"))
     w = Window.partitionBy(*by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
