@@ -7,8 +7,11 @@ from hourglass.llm.catalog import QUERIES, SQL, query
 from hourglass.llm.common import WORD_PATTERN, documents
 from hourglass.llm.exact import content_sort
 from hourglass.llm.fingerprint import edited_pairs
+from hourglass.llm.langid import identify
 from hourglass.llm.ngram_join import jaccard_join
 from hourglass.llm.packing import pack
+from hourglass.llm.pii import find
+from hourglass.llm.quality import score
 from hourglass.llm.token_files import token_digest
 
 
@@ -77,3 +80,18 @@ def op9(spark, sf_dir):
 @query("op10_token_files")
 def op10(spark, sf_dir):
     return token_digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), WORD_PATTERN)
+
+
+@query("op6_disclosure")
+def op6(spark, sf_dir):
+    return find(documents(spark, sf_dir))
+
+
+@query("op7_byte_cnn")
+def op7(spark, sf_dir):
+    return identify(documents(spark, sf_dir))
+
+
+@query("op8_additive_quality")
+def op8(spark, sf_dir):
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
