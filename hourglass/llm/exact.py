@@ -21,8 +21,8 @@ def normalised(text: Column) -> Column:
 
 def _order_key(text: Column, ident: Column) -> Column:
     """What ranges are cut by: bounded in size, equal for equal texts but for the id."""
-    t = normalised(text)
-    return F.struct(F.substring(t, 1, LEAD).alias("lead"), F.xxhash64(t).alias("hash"), F.coalesce(ident, F.lit(2**63 - 1)).cast("long").alias("id"))
+    once = lambda t: F.struct(F.substring(t, 1, LEAD).alias("lead"), F.xxhash64(t).alias("hash"), F.coalesce(ident, F.lit(2**63 - 1)).cast("long").alias("id"))
+    return F.get(F.transform(F.array(normalised(text)), once), 0)
 
 
 def sampled_splitters(docs: DataFrame, text: str, ident: str, ranges: int, seed: int = 17) -> list:
@@ -36,15 +36,17 @@ def sampled_splitters(docs: DataFrame, text: str, ident: str, ranges: int, seed:
 
 
 def _range(key: Column, splitters: list) -> Column:
-    """Number of splitters not above ``key``, by bisection."""
+    """Number of splitters not above ``key``, by bisection; the key rides along, or each step would normalise the text again."""
     if not splitters:
         return F.lit(0)
     edges = F.array(*[F.struct(F.lit(a).alias("lead"), F.lit(h).cast("long").alias("hash"), F.lit(i).cast("long").alias("id")) for a, h, i in splitters])
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"), key.alias("key"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.shiftright(s.lo + s.hi, 1)
-        return F.when(s.lo >= s.hi, s).when(F.get(edges, mid) <= key, F.struct((mid + 1).alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), mid.alias("hi")))
+        above = F.get(edges, mid) <= s.key
+        done = s.lo >= s.hi
+        return F.struct(F.when(~done & above, mid + 1).otherwise(s.lo).alias("lo"), F.when(done | above, s.hi).otherwise(mid).alias("hi"), s.key.alias("key"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), start, halve, lambda s: s.lo)
 
