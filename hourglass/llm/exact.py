@@ -51,38 +51,56 @@ def _range(key: Column, splitters: list) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), start, halve, lambda s: s.lo)
 
 
-def content_sort(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """All rows of ``docs`` with keep_id, group_size, kept and text_sha256.
+def sorted_groups(docs: DataFrame, text: str, ident: str, carried: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Settled rows with __range, __place, __group and __new; the groups within ranges; and those that meet groups of other ranges.
 
-    Texts are equal when identical after white space runs become one space; NULL text counts as empty. The smallest id of a
-    group stays (NULL ids come last, so a NULL id stays only in a group without ids). Rows that repeat text and id count as
-    separate members of which one is ``kept``. Input columns named like results are replaced. The sorted rows without their
-    texts are settled once; an empty table gives no rows.
+    The last frame has at most two rows for each range, with the group's overall size and smallest id and the range in which
+    the row that stays lies (``home``).
     """
     spark = docs.sparkSession
-    source = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     ranges = buckets_wanted(spark, 4)
-    splitters = sampled_splitters(source.select(text, ident), text, ident, ranges)
-    dealt = source.withColumn("__range", _range(_order_key(F.col(text), F.col(ident)), splitters))
+    splitters = sampled_splitters(docs.select(text, ident), text, ident, ranges)
+    dealt = docs.withColumn("__range", _range(_order_key(F.col(text), F.col(ident)), splitters))
     # one exchange; the normalised text is made again behind it, so that only the text itself travels
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__range").withColumn("__norm", normalised(F.col(text)))
     order = [F.substring("__norm", 1, LEAD), F.xxhash64("__norm"), F.col("__norm"), F.col(ident).asc_nulls_last()]
     sequence = Window.partitionBy("__range").orderBy(*order)
     before = F.lag("__norm").over(sequence)
-    marked = dealt.withColumn("__new", before.isNull() | (before != F.col("__norm"))).withColumn("__place", F.row_number().over(sequence))
+    marked = dealt.withColumn("__new", before.isNull() | (before != F.col("__norm")))
     running = sequence.rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("__group", F.sum(F.col("__new").cast("long")).over(running)).withColumn("text_sha256", F.sha2("__norm", 256))
-    carried = [c for c in source.columns if c != text]
-    rows = settle(numbered.select(*[F.col(f"`{c}`") for c in carried], "__range", "__place", "__group", "__new", "text_sha256"))
+    rows = settle(numbered.select(*[F.col(f"`{c}`") for c in carried], "__range", "__group", "__new", "text_sha256"))
     local = rows.groupBy("__range", "__group").agg(F.min(ident).alias("least"), F.count("*").alias("n"), F.min("text_sha256").alias("sha"))
     ends = rows.groupBy("__range").agg(F.max("__group").alias("last"))
-    # at most two groups of a range can go on in another one
     edge = local.join(ends, "__range").filter("__group = 1 or __group = last")
-    joined = edge.groupBy("sha").agg(F.min("least").alias("keep"), F.sum("n").alias("size"), F.min("__range").alias("first_range"), F.min(F.when(F.col("least").isNotNull(), F.col("__range"))).alias("id_range"))
-    merged = edge.select("__range", "__group", "sha").join(joined, "sha").select("__range", "__group", "keep", "size", F.coalesce("id_range", "first_range").alias("home"))
+    joined = edge.groupBy("sha").agg(F.min("least").alias("keep_id"), F.sum("n").alias("size"), F.min("__range").alias("first_range"), F.min(F.when(F.col("least").isNotNull(), F.col("__range"))).alias("id_range"))
+    merged = edge.select("__range", "__group", "sha").join(joined, "sha").select("__range", "__group", "keep_id", "size", F.coalesce("id_range", "first_range").alias("home"))
+    return rows, local, merged
+
+
+def content_sort(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """All rows of ``docs`` without their texts, with keep_id, group_size, kept and text_sha256.
+
+    Texts are equal when identical after white space runs become one space; NULL text counts as empty. The smallest id of a
+    group stays (NULL ids come last, so a NULL id stays only in a group without ids). Rows that repeat text and id count as
+    separate members of which one is ``kept``. Input columns named like results are replaced. The sorted rows without their
+    texts are settled once; an empty table gives no rows.
+    """
+    source = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    carried = [c for c in source.columns if c != text]
+    rows, local, merged = sorted_groups(source, text, ident, carried)
     groups = local.join(merged, ["__range", "__group"], "left").select(
-        "__range", "__group", F.when(F.col("home").isNull(), F.col("least")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", "n").alias("group_size"), F.coalesce("home", F.col("__range")).alias("home")
+        "__range", "__group", F.when(F.col("home").isNull(), F.col("least")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("size", "n").alias("group_size"), F.coalesce("home", F.col("__range")).alias("home")
     )
-    out = rows.join(groups, ["__range", "__group"])
     kept = F.col("__new") & (F.col("__range") == F.col("home"))
-    return out.select(*[F.col(f"`{c}`") for c in carried], "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.join(groups, ["__range", "__group"]).select(*[F.col(f"`{c}`") for c in carried], "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``content_sort`` keeps, with their columns and unchanged texts."""
+    given = {c: f"__given_{i}" for i, c in enumerate(docs.columns) if c not in (text, ident)}
+    rows, _, merged = sorted_groups(docs.withColumnsRenamed(given), text, ident, [given.get(c, c) for c in docs.columns])
+    # at most two rows for each range, whose number is a setting: small enough to broadcast
+    elsewhere = F.broadcast(merged.filter("__range <> home").select("__range", "__group"))
+    heads = rows.filter("__new").join(elsewhere, ["__range", "__group"], "left_anti")
+    return heads.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])

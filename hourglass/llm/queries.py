@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from hourglass.llm.bpe import encode_decode
+from pyspark.sql import functions as F
+
 from hourglass.llm.catalog import QUERIES, SQL, query
 from hourglass.llm.common import WORD_PATTERN, documents
 from hourglass.llm.exact import content_sort
 from hourglass.llm.fingerprint import edited_pairs
 from hourglass.llm.langid import identify
+from hourglass.llm.licenses import oracle, scan
 from hourglass.llm.ngram_join import jaccard_join
 from hourglass.llm.packing import pack
 from hourglass.llm.pii import find
@@ -95,3 +98,14 @@ def op7(spark, sf_dir):
 @query("op8_additive_quality")
 def op8(spark, sf_dir):
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Documents have no path of their own: source and id give one, a directory for every 1,000 and every 100 ids.
+PATHS = "SELECT doc_id, text, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id || '.txt' AS path FROM documents"
+
+
+@query("op3_license_scan", oracle(PATHS))
+def op3(spark, sf_dir):
+    block = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", "source", block(1000), block(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(documents(spark, sf_dir).select("doc_id", "text", path.alias("path"))).drop("text")
