@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hourglass.operators.lineage import shared_folder
+
 #: The white space that contracts name, as a character class body valid in Java, DuckDB and Python.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,14 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; every job that settles rows needs it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
 def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write rows as a Parquet table in the shared folder and read them back.
 
