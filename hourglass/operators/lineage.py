@@ -1,21 +1,32 @@
-"""Cutting long plans where an iterative fit would otherwise recompute them."""
+"""Cutting long plans where an iterative fit would otherwise recompute them, and the shared folder that this needs."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a local session without one gets a fresh temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    Only a single-process session (``local`` or ``local[n]``) without one gets a fresh temporary folder; any other raises.
+    """
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint()

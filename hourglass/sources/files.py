@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cleaning import dedupe
+from ..operators.lineage import shared_folder
 
 # Tokens read as missing, archive headers and their canonical names.
 NULL_TOKENS = ("NA", "na", "N/A", "n/a", "--", "")
@@ -52,7 +53,7 @@ def discover(spark: SparkSession, root: str, *, pattern: str = "*") -> DataFrame
 def read_csv(spark: SparkSession, path: str | list[str], columns: Mapping[str, str] = ARCHIVE_COLUMNS, *, text: Sequence[str] = ("ts",), recursive: bool = True) -> DataFrame:
     """CSV with a header: known columns renamed, the rest dropped, null tokens and unreadable numbers missing.
 
-    Every column is read as text in one scan and cast once; ``source_file`` and the position inside the file keep file
+    Every column is read as text in one scan and cast once; ``source_file`` and ``file_order`` (file, block, row) keep file
     order available for keep-last rules. A known column absent from the header is NULL.
     """
     raw = spark.read.option("header", True).option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
@@ -65,7 +66,9 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: Mapping[str, s
         value = F.when(value.isin(*NULL_TOKENS), None).otherwise(value)
         return (value if name in text else value.try_cast("double")).alias(name)
 
-    lineage = [F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("file_order")]
+    # scan partitions are packed by size, so the row number alone is no file order
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lineage = [F.col("_metadata.file_path").alias("source_file"), place.alias("file_order")]
     return raw.select(*[cell(s, n) for s, n in columns.items()], *lineage)
 
 
@@ -106,13 +109,7 @@ def wide_hours_to_long(df: DataFrame, day: str, hours: Sequence[str], file: str,
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder; local sessions may fall back to a temporary one."""
-    import tempfile
+    """A fresh folder under the shared one."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
