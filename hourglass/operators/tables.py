@@ -11,10 +11,13 @@ from .grid import HOUR
 
 
 # ------------------------------------------------------------------------------------------------------------ upserts
-def upsert_latest(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Last write wins: a new row replaces the stored row of its key."""
+def upsert_latest(stored: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Last write wins: a new row replaces the stored row of its key.
+
+    Of several new rows of a key the last by ``order`` wins, then the one with the larger values, so a re-run agrees."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return dedupe(both, keys, ["__new"]).drop("__new")
+    rest = [c for c in both.columns if c not in keys and c not in order and c != "__new" and not both.schema[c].dataType.typeName().startswith("map")]
+    return dedupe(both, keys, ["__new", *order, *rest]).drop("__new")
 
 
 def _merge(stored: DataFrame, new: DataFrame, keys: Sequence[str], replace: Column) -> DataFrame:

@@ -71,7 +71,7 @@ def label_ranking_areas(t: Tables):
     return cl.ranking_areas(d, [], F.col("toxic") == 1, "n_chars")
 
 
-_RATIOS = (1, 5, 10)
+_RATIOS = cl.COST_RATIOS
 _SWEEP = f"""{_FH}, th AS (SELECT unnest(range(601)) * 0.5 + 200 AS threshold), sp AS (SELECT unnest(['val', 'test']) AS split),
   cf AS (SELECT sp.split, th.threshold::DOUBLE AS threshold, count(*) FILTER (WHERE p >= threshold AND y >= 401) AS tp, count(*) FILTER (WHERE p >= threshold AND y < 401) AS fp, count(*) FILTER (WHERE p < threshold AND y >= 401) AS fn, count(*) FILTER (WHERE p < threshold AND y < 401) AS tn,
     count(*) FILTER (WHERE p >= threshold AND y BETWEEN 301 AND 400) AS fp_actual_vpoor, count(*) FILTER (WHERE p >= threshold AND y BETWEEN 201 AND 300) AS fp_actual_poor, count(*) FILTER (WHERE p >= threshold AND y <= 200) AS fp_actual_mod_better FROM sp, th, fh WHERE fh.split = sp.split GROUP BY ALL),

@@ -155,7 +155,7 @@ def station_names(t: Tables):
     j = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     full = F.concat(F.col("s_name"), F.lit(", "), F.col("n_name"), F.lit(" - "), F.col("r_name"), F.lit("\t"))
     raw = F.when(F.col("s_suppkey") % 7 == 0, F.col("s_name")).otherwise(full)
-    return j.withColumn("raw", raw).select("s_suppkey", *[x.alias(n) for n, x in c.split_station_name("raw").items()])
+    return j.withColumn("raw", raw).select("s_suppkey", *[x.alias(n) for n, x in c.split_station_name("raw", city="Delhi").items()])
 
 
 @query("alias_mapping", """SELECT c_custkey, n_name AS station FROM customer JOIN nation ON c_nationkey = n_nationkey""")

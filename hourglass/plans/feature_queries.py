@@ -52,11 +52,21 @@ _NET = [
     "network_mean_aqi_lag_1h", "network_mean_pm25_lag_1h", "network_min_aqi_lag_1h", "network_max_aqi_lag_1h",
     "top_neighbor_aqi_lag_1h", "top_neighbor_pm25_lag_1h",
 ]
-NEIGHBOURS = {0: 1, 1: 2, 2: 0}
-_NET_SQL = """net AS (SELECT ts + INTERVAL 1 HOUR AS ts, sum(index_value) AS sa, count(index_value) AS na, sum(pm25) AS sp, count(pm25) AS np,
+# the next station is the fixed neighbour, the last one's is the first
+_NEAR_SQL = "nb AS (SELECT DISTINCT user_id // 50 AS entity, (user_id // 50 + 1) % ((SELECT max(user_id) FROM events) // 50 + 1) AS near FROM events)"
+
+
+def neighbours(t: Tables):
+    """(entity, neighbour), one row per station."""
+    known = b.station_events(t).select("entity").distinct()
+    top = b.station_events(t).agg(F.max("entity") + 1).scalar()
+    return known.withColumn("neighbour", F.pmod(F.col("entity") + 1, top))
+
+
+_NET_SQL = f"""net AS (SELECT ts + INTERVAL 1 HOUR AS ts, sum(index_value) AS sa, count(index_value) AS na, sum(pm25) AS sp, count(pm25) AS np,
       min(index_value) AS lo, max(index_value) AS hi FROM idx GROUP BY ts),
-  near AS (SELECT CASE entity WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 END AS entity, ts + INTERVAL 1 HOUR AS ts, index_value AS top_neighbor_aqi_lag_1h,
-      pm25 AS top_neighbor_pm25_lag_1h FROM idx WHERE entity IN (0, 1, 2))"""
+  {_NEAR_SQL}, near AS (SELECT nb.entity, ts + INTERVAL 1 HOUR AS ts, index_value AS top_neighbor_aqi_lag_1h,
+      pm25 AS top_neighbor_pm25_lag_1h FROM idx JOIN nb ON nb.near = idx.entity)"""
 _LOO = """CASE WHEN coalesce(na, 0) - (f.aqi_lag_1h IS NOT NULL)::INT > 0 THEN (sa - coalesce(f.aqi_lag_1h, 0)) / (na - (f.aqi_lag_1h IS NOT NULL)::INT) ELSE 0 END AS network_mean_aqi_lag_1h,
     CASE WHEN coalesce(np, 0) - (f.pm25_lag_1h IS NOT NULL)::INT > 0 THEN (sp - coalesce(f.pm25_lag_1h, 0)) / (np - (f.pm25_lag_1h IS NOT NULL)::INT) ELSE 0 END AS network_mean_pm25_lag_1h"""
 _CAL = """(isodow(ts) - 1)::INT AS day_of_week, hour(ts)::INT AS hour, month(ts)::INT AS month, dayofyear(ts)::INT AS day_of_year, (isodow(ts) >= 6)::INT AS is_weekend,
@@ -73,7 +83,7 @@ MATRIX_CTE = f"""{b.INDEX_CTE}, framed AS (SELECT entity, ts, {FRAME_SQL} FROM i
 
 
 def matrix(t: Tables):
-    return ft.feature_matrix(b.index(t), "entity", NEIGHBOURS)
+    return ft.feature_matrix(b.index(t), "entity", neighbours(t))
 
 
 @query("feature_matrix", f"WITH {MATRIX_CTE} SELECT *, {_CAL} FROM matrix", " ".join(FRAME_COLS + _NET) + " " + _WAVES, digits=5)
@@ -153,14 +163,14 @@ def leave_one_out(t: Tables):
 
 @query(
     "neighbour_values",
-    f"""WITH {b.READINGS_CTE} SELECT a.entity, a.ts, n.pm25 AS near_pm25 FROM readings a LEFT JOIN readings n
-      ON n.ts = a.ts AND n.entity = CASE a.entity WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END""",
+    f"""WITH {b.READINGS_CTE}, {_NEAR_SQL} SELECT a.entity, a.ts, n.pm25 AS near_pm25 FROM readings a JOIN nb ON nb.entity = a.entity LEFT JOIN readings n
+      ON n.ts = a.ts AND n.entity = nb.near""",
     "near_pm25",
 )
 def neighbour_values(t: Tables):
     """Values of a fixed neighbour at the same hour."""
     r = b.readings(t)
-    return with_label(ft.neighbour_values(r, "entity", HOUR, NEIGHBOURS, {"pm25": "near_pm25"})).select("entity", "ts", "near_pm25")
+    return with_label(ft.neighbour_values(r, "entity", HOUR, neighbours(t), {"pm25": "near_pm25"})).select("entity", "ts", "near_pm25")
 
 
 _FIRES = """d AS (SELECT ts::DATE AS day, count(*) AS fires FROM events WHERE event_type = 'error' AND value > 100 GROUP BY 1),

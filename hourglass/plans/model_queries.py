@@ -161,7 +161,7 @@ def feature_set_comparison(t: Tables):
 def tree_variants(t: Tables):
     """Boosted trees in level and delta form, with and without calendar, against the ridge blend."""
     train, val, _ = _parts(model_frame(t))
-    return md.tree_variants(train, val, BASE, CALENDAR, TARGET, CURRENT, trees=5)
+    return md.tree_variants(train, val, BASE, CALENDAR, TARGET, CURRENT)
 
 
 @query("group_ablation")
@@ -169,7 +169,7 @@ def group_ablation(t: Tables):
     """Feature groups added one by one; the oracle group is never eligible, an empty group is reported as not run."""
     train, val, _ = _parts(model_frame(t))
     groups = {"base": BASE, "base+rolling": BASE + ROLLS, "oracle": BASE + ["o3_curr"], "satellite": []}
-    return md.group_ablation(train, val, groups, TARGET, CURRENT, trees=5, ineligible=["oracle"])
+    return md.group_ablation(train, val, groups, TARGET, CURRENT, ineligible=["oracle"])
 
 
 @query("severe_event_classifier")
@@ -227,6 +227,6 @@ def replayed_forecasts(t: Tables):
 def gain_by_family(t: Tables):
     """Share of the split gains per feature family."""
     train, _, _ = _parts(model_frame(t))
-    model = md.fit_trees(train, BASE + ROLLS, TARGET, current=CURRENT, trees=5)
+    model = md.fit_trees(train, BASE + ROLLS, TARGET, current=CURRENT)
     family = F.when(F.col("feature").contains("_roll_"), "rolling").when(F.col("feature").contains("_lag_"), "lag").otherwise("current")
     return sv.family_share(md.importance_table(model, BASE + ROLLS, train), "feature", "gain", family)

@@ -11,7 +11,7 @@ from . import bindings as b
 from .catalog import Tables, query
 from .table_queries import MATURED_CTE, matured
 
-DRAWS = 200
+DRAWS = 1000
 _FC = b.FORECAST_CTE
 
 
@@ -202,13 +202,13 @@ def product_skill(t: Tables):
 _ROLLING = f"""{_SCORES}, ends AS (SELECT DISTINCT target_time::DATE AS d FROM scores), mx AS (SELECT min(d) AS lo, max(d) AS hi FROM ends), days AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS window_end FROM mx),
   rolling AS (SELECT CASE WHEN grouping(entity) = 0 THEN entity END AS entity, horizon, target, window_end, count(*) AS n, avg(abs_err) AS mae_model, avg(abs_err_persistence) AS mae_persistence, 1 - sum(abs_err) / sum(abs_err_persistence) AS skill_mae,
     avg(abs_err_window_update) AS mae_window_update, 1 - sum(abs_err) / sum(abs_err_window_update) AS skill_vs_window_update
-  FROM scores JOIN days ON target_time::DATE BETWEEN window_end - 6 AND window_end GROUP BY GROUPING SETS ((target, horizon, window_end), (entity, target, horizon, window_end)) HAVING count(*) >= 20)"""
+  FROM scores JOIN days ON target_time::DATE BETWEEN window_end - 29 AND window_end GROUP BY GROUPING SETS ((target, horizon, window_end), (entity, target, horizon, window_end)) HAVING count(*) >= 20)"""
 
 
 @query("rolling_skill", f"WITH {_ROLLING} SELECT * FROM rolling", "mae_model mae_persistence skill_mae mae_window_update skill_vs_window_update")
 def rolling_skill(t: Tables):
-    """Trailing seven-day skill, pooled and per station."""
-    return sc.rolling_skill(scores(t), _day("target_time"), "entity", days=7)
+    """Trailing 30-day skill, pooled and per station."""
+    return sc.rolling_skill(scores(t), _day("target_time"), "entity", days=30)
 
 
 _STREAK = """st AS (SELECT target, horizon, max(CASE WHEN s IS NULL OR s >= 0 THEN window_end END) AS brk FROM hist GROUP BY ALL),
@@ -218,41 +218,41 @@ _STREAK = """st AS (SELECT target, horizon, max(CASE WHEN s IS NULL OR s >= 0 TH
 @query("negative_streaks", f"WITH {_ROLLING}, hist AS (SELECT target, horizon, window_end, skill_vs_window_update AS s FROM rolling WHERE entity IS NULL), {_STREAK} SELECT * FROM streaks")
 def negative_streaks(t: Tables):
     """Trailing days with negative skill per product."""
-    pooled = sc.rolling_skill(scores(t), _day("target_time"), "entity", days=7).where("entity IS NULL")
+    pooled = sc.rolling_skill(scores(t), _day("target_time"), "entity", days=30).where("entity IS NULL")
     return sc.negative_streak(pooled, ["target", "horizon"], "window_end", "skill_vs_window_update", "streak")
 
 
-_RUNS = "runs AS (SELECT event_type AS job, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'success' END AS status, ts AS started_at FROM events)"
+_RUNS = "runs AS (SELECT event_type AS job, CASE WHEN user_id % 3 = 0 THEN 'success' ELSE 'failed' END AS status, ts AS started_at FROM events)"
 
 
 def runs(t: Tables):
-    status = F.when(F.col("user_id") % 3 == 0, "failed").otherwise("success")
+    status = F.when(F.col("user_id") % 3 == 0, "success").otherwise("failed")
     return t.events.select(F.col("event_type").alias("job"), status.alias("status"), F.col("ts").alias("started_at"))
 
 
-@query("failed_jobs", f"WITH {_RUNS}, l AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC) <= 1) SELECT job, started_at AS newest FROM l WHERE status = 'failed'")
+@query("failed_jobs", f"WITH {_RUNS}, l AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC) <= 3) SELECT job, max(started_at) AS newest FROM l GROUP BY job HAVING bool_and(status = 'failed') AND count(*) = 3")
 def failed_jobs(t: Tables):
     """Jobs whose newest runs all failed."""
-    return sc.failed_streaks(runs(t), "job", "status", "started_at", last=1)
+    return sc.failed_streaks(runs(t), "job", "status", "started_at", last=3)
 
 
 @query(
     "alert_table",
     f"""WITH {_ROLLING}, {_RUNS}, hist AS (SELECT target, horizon, window_end, skill_mae AS s FROM rolling WHERE entity IS NULL), {_STREAK},
       hist2 AS (SELECT target, horizon, window_end, skill_vs_window_update AS s FROM rolling WHERE entity IS NULL), {_STREAK.replace('streaks AS', 'streaks2 AS').replace('st AS', 'st2 AS').replace('FROM hist ', 'FROM hist2 ').replace('JOIN st ', 'JOIN st2 ')}
-    SELECT 'skill-' || target || '-' || horizon || 'h' AS key, upper(target) || ' ' || horizon || 'h skill below zero for 2 days' AS title FROM streaks WHERE streak >= 2
-    UNION ALL SELECT 'skill-vs-rule-aqi-' || horizon || 'h', 'AQI ' || horizon || 'h worse than the window-update rule for 2 days' FROM streaks2 WHERE streak >= 2 AND target = 'aqi' AND horizon IN (1, 6)
-    UNION ALL SELECT 'job-' || job, job || ' failed its last 1 runs' FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC) <= 1) WHERE status = 'failed'""",
+    SELECT 'skill-' || target || '-' || horizon || 'h' AS key, upper(target) || ' ' || horizon || 'h skill below zero for 7 days' AS title FROM streaks WHERE streak >= 7
+    UNION ALL SELECT 'skill-vs-rule-aqi-' || horizon || 'h', 'AQI ' || horizon || 'h worse than the window-update rule for 7 days' FROM streaks2 WHERE streak >= 7 AND target = 'aqi' AND horizon IN (1, 6)
+    UNION ALL SELECT 'job-' || job, job || ' failed its last 3 runs' FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC) <= 3) GROUP BY job HAVING bool_and(status = 'failed') AND count(*) = 3""",
 )
 def alert_table(t: Tables):
     """Alerts from rolling skill and the run log."""
-    pooled = sc.rolling_skill(scores(t), _day("target_time"), "entity", days=7).where("entity IS NULL")
-    return sc.alert_table(pooled, runs(t), days=2, failures=1)
+    pooled = sc.rolling_skill(scores(t), _day("target_time"), "entity", days=30).where("entity IS NULL")
+    return sc.alert_table(pooled, runs(t), days=7, failures=3)
 
 
 @query(
     "stall_decisions",
-    f"""WITH {b.READINGS_CTE}, a AS (SELECT entity, day(ts)::INT AS day, date_diff('hour', max(ts), date_trunc('day', min(ts)) + INTERVAL 24 HOUR) - 1 + entity * 3 AS age FROM readings GROUP BY entity, day(ts), date_trunc('day', ts))
+    f"""WITH {b.READINGS_CTE}, a AS (SELECT entity, day(ts)::INT AS day, date_diff('hour', max(ts), date_trunc('day', min(ts)) + INTERVAL 24 HOUR) - 1 + entity % 5 * 3 AS age FROM readings GROUP BY entity, day(ts), date_trunc('day', ts))
     SELECT entity, day, age::DOUBLE AS age, CASE WHEN age > 5 THEN CASE WHEN day % 2 = 0 THEN 'refresh' ELSE 'open' END WHEN age <= 2 AND day % 2 = 0 THEN 'close' ELSE 'none' END AS action FROM a""",
     "age",
 )
@@ -261,5 +261,5 @@ def stall_decisions(t: Tables):
     r = b.readings(t).withColumn("d", F.floor(F.col(HOUR) / 24))
     newest = r.groupBy("entity", "d").agg(F.max(HOUR).alias("h"))
     day = F.dayofmonth(hour_label("h"))
-    aged = newest.select("entity", day.alias("day"), ((F.col("d") + 1) * 24 - F.col("h") - 1 + F.col("entity") * 3).cast("double").alias("age"))
+    aged = newest.select("entity", day.alias("day"), ((F.col("d") + 1) * 24 - F.col("h") - 1 + F.col("entity") % 5 * 3).cast("double").alias("age"))
     return aged.withColumn("action", sc.stall_decision(F.col("age"), F.col("day") % 2 == 0, stale_after=2.0, stall_after=5.0))

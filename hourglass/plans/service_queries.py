@@ -218,7 +218,7 @@ def now_hour():
     return hour_number(F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
 
 
-_UPTO = f"""{b.INDEX_CTE}, stn AS (SELECT DISTINCT user_id // 50 AS entity FROM events), ix AS (SELECT entity, ts, index_value FROM idx WHERE index_value IS NOT NULL AND ts <= {_NOW} - to_hours(entity * 2)), rd AS (SELECT * FROM readings WHERE ts <= {_NOW}),
+_UPTO = f"""{b.INDEX_CTE}, stn AS (SELECT DISTINCT user_id // 50 AS entity FROM events), ix AS (SELECT entity, ts, index_value FROM idx WHERE index_value IS NOT NULL AND ts <= {_NOW} - to_hours(entity % 5 * 2)), rd AS (SELECT * FROM readings WHERE ts <= {_NOW}),
   ov AS (SELECT entity, i.v AS index_now, r.p AS pm25_now, i.t AS index_ts, r.t AS reading_ts, coalesce(date_diff('hour', i.t, {_NOW}) - 1 > 3, true) AS stale FROM stn
     LEFT JOIN (SELECT entity, max(ts) AS t, arg_max(index_value, ts) AS v FROM ix GROUP BY 1) i USING (entity) LEFT JOIN (SELECT entity, max(ts) AS t, arg_max(pm25, ts) FILTER (WHERE pm25 IS NOT NULL) AS p FROM rd GROUP BY 1) r USING (entity))"""
 
@@ -228,7 +228,7 @@ def stations(t: Tables):
 
 
 def _current_index(t: Tables):
-    return b.index(t).where(F.col("index_value").isNotNull() & (F.col(HOUR) <= now_hour() - F.col("entity") * 2)).select("entity", HOUR, "index_value")
+    return b.index(t).where(F.col("index_value").isNotNull() & (F.col(HOUR) <= now_hour() - F.col("entity") % 5 * 2)).select("entity", HOUR, "index_value")
 
 
 def _overview(t: Tables):
@@ -322,7 +322,7 @@ def latest_measures(t: Tables):
 def _skill_history_sql() -> str:
     from .score_queries import _ROLLING
 
-    return f"WITH {_ROLLING}, h AS (SELECT target, horizon, window_end, n, skill_mae, skill_vs_window_update FROM rolling WHERE entity IS NULL), r AS (SELECT * FROM h WHERE window_end > (SELECT max(window_end) - 10 FROM h)) SELECT target, horizon, count(*) AS points, arg_max(skill_mae, window_end) AS current_vs_persistence, arg_max(n, window_end) AS n FROM r GROUP BY ALL"
+    return f"WITH {_ROLLING}, h AS (SELECT target, horizon, window_end, n, skill_mae, skill_vs_window_update FROM rolling WHERE entity IS NULL), r AS (SELECT * FROM h WHERE window_end > (SELECT max(window_end) - 30 FROM h)) SELECT target, horizon, count(*) AS points, arg_max(skill_mae, window_end) AS current_vs_persistence, arg_max(n, window_end) AS n FROM r GROUP BY ALL"
 
 
 @query("skill_series", _skill_history_sql(), "current_vs_persistence")
@@ -331,13 +331,13 @@ def skill_series(t: Tables):
     from ..operators.scoring import rolling_skill
     from .score_queries import scores
 
-    pooled = rolling_skill(scores(t), F.to_date("target_time"), "entity", days=7).where("entity IS NULL")
-    s = sv.skill_series(pooled, days=10)
+    pooled = rolling_skill(scores(t), F.to_date("target_time"), "entity", days=30).where("entity IS NULL")
+    s = sv.skill_series(pooled, days=30)
     return s.select("target", "horizon", F.size("series").cast("long").alias("points"), "current_vs_persistence", "n")
 
 
 _PRODUCTS = (("aqi", 6), ("pm25", 6))
-_STATUS = f"""{b.FORECAST_CTE}, stn AS (SELECT DISTINCT user_id // 50 AS entity FROM events), f AS (SELECT entity, ts, 'aqi' AS target, 6 AS horizon, y_pred AS y_hat FROM fc WHERE ts <= {_NOW} UNION ALL SELECT entity, ts, 'pm25', 6, y_pred / 2 FROM fc WHERE ts <= {_NOW} - to_hours(entity)),
+_STATUS = f"""{b.FORECAST_CTE}, stn AS (SELECT DISTINCT user_id // 50 AS entity FROM events), f AS (SELECT entity, ts, 'aqi' AS target, 6 AS horizon, y_pred AS y_hat FROM fc WHERE ts <= {_NOW} UNION ALL SELECT entity, ts, 'pm25', 6, y_pred / 2 FROM fc WHERE ts <= {_NOW} - to_hours(entity % 5)),
   nw AS (SELECT entity, target, horizon, max(ts) AS issue, arg_max(y_hat, ts) AS value FROM f GROUP BY ALL), cu AS (SELECT max(ts) AS cur FROM f WHERE ts > {_NOW} - INTERVAL 12 HOUR), pr AS (SELECT unnest(['aqi', 'pm25']) AS target, 6 AS horizon),
   j AS (SELECT s.entity, pr.target, pr.horizon, issue, value, cur, cur IS NULL OR date_diff('hour', cur, {_NOW}) > 4 AS job_stale FROM stn s CROSS JOIN pr CROSS JOIN cu LEFT JOIN nw USING (entity, target, horizon)),
   k AS (SELECT *, NOT job_stale AND coalesce(issue = cur, false) AS ok FROM j)"""
@@ -354,7 +354,7 @@ def product_status(t: Tables):
     f = b.forecast_frame(t)
     now = now_hour()
     a = f.where(F.col(HOUR) <= now).select("entity", HOUR, F.lit("aqi").alias("target"), F.lit(6).alias("horizon"), F.col("y_pred").alias("y_hat"))
-    p = f.where(F.col(HOUR) <= now - F.col("entity")).select("entity", HOUR, F.lit("pm25").alias("target"), F.lit(6).alias("horizon"), (F.col("y_pred") / 2).alias("y_hat"))
+    p = f.where(F.col(HOUR) <= now - F.col("entity") % 5).select("entity", HOUR, F.lit("pm25").alias("target"), F.lit(6).alias("horizon"), (F.col("y_pred") / 2).alias("y_hat"))
     known = stations(t)
     r1 = known.where("entity = 1").select("entity", F.lit("pm25").alias("target"), F.lit(6).alias("horizon"), F.lit("stale").alias("reason"))
     r2 = known.where("entity = 2").select("entity", F.lit(None).cast("string").alias("target"), F.lit(None).cast("int").alias("horizon"), F.lit("few rows").alias("reason"))
@@ -362,14 +362,14 @@ def product_status(t: Tables):
 
 
 _ISSUE = "TIMESTAMP '2024-01-28 06:00:00'"
-_VERD = f"""{b.INDEX_CTE}, h AS (SELECT * FROM idx WHERE ts <= {_ISSUE} - to_hours(entity * 2)), rdd AS (SELECT entity, max(ts) AS latest FROM readings WHERE ts <= {_ISSUE} - to_hours(entity * 2) GROUP BY 1),
+_VERD = f"""{b.INDEX_CTE}, h AS (SELECT * FROM idx WHERE ts <= {_ISSUE} - to_hours(entity % 5 * 2)), rdd AS (SELECT entity, max(ts) AS latest FROM readings WHERE ts <= {_ISSUE} - to_hours(entity % 5 * 2) GROUP BY 1),
   a AS (SELECT entity, max(index_value) FILTER (WHERE ts = {_ISSUE}) AS cur, count(index_value) FILTER (WHERE ts > {_ISSUE} - INTERVAL 336 HOUR) AS history_rows, count(no2) > 0 AS has_no2, avg((pm10 IS NULL)::INT) FILTER (WHERE ts > {_ISSUE} - INTERVAL 24 HOUR) AS missing FROM h GROUP BY 1),
   v AS (SELECT entity, CASE WHEN latest IS NULL THEN 'no readings' WHEN date_diff('hour', latest, {_ISSUE}) > 3 THEN 'stale' WHEN cur IS NULL THEN 'current index missing' WHEN NOT has_no2 THEN 'required group missing: no2' WHEN history_rows < 169 THEN 'insufficient history' WHEN missing > 0.9 THEN 'core features missing' END AS reason FROM a LEFT JOIN rdd USING (entity))"""
 
 
 def verdicts(t: Tables):
     issue = hour_number(F.lit("2024-01-28 06:00:00").cast("timestamp_ntz"))
-    known = F.col(HOUR) <= issue - F.col("entity") * 2
+    known = F.col(HOUR) <= issue - F.col("entity") % 5 * 2
     latest = b.readings(t).where(known).groupBy("entity").agg(F.max(HOUR).alias("latest_hour"))
     h = b.index(t).where(known)
     a = h.groupBy("entity").agg(
@@ -404,11 +404,11 @@ def skip_reasons(t: Tables):
     return sv.skip_reasons(v).unionByName(v.where("ok").agg(F.lit("none").alias("reason"), F.count(F.lit(1)).alias("stations")).select("reason", "stations"))
 
 
-_FRESH = f"{_UPTO}, fr AS (SELECT entity, (date_diff('hour', max(r.ts), {_NOW}) - 1)::DOUBLE AS age_hours FROM stn LEFT JOIN (SELECT * FROM rd WHERE ts <= {_NOW} - to_hours(entity * 2)) r USING (entity) GROUP BY 1)"
+_FRESH = f"{_UPTO}, fr AS (SELECT entity, (date_diff('hour', max(r.ts), {_NOW}) - 1)::DOUBLE AS age_hours FROM stn LEFT JOIN (SELECT * FROM rd WHERE ts <= {_NOW} - to_hours(entity % 5 * 2)) r USING (entity) GROUP BY 1)"
 
 
 def _fresh(t: Tables):
-    return sv.freshness(b.readings(t).where(F.col(HOUR) <= now_hour() - F.col("entity") * 2), stations(t), "entity", now_hour())
+    return sv.freshness(b.readings(t).where(F.col(HOUR) <= now_hour() - F.col("entity") % 5 * 2), stations(t), "entity", now_hour())
 
 
 @query("feed_freshness", f"WITH {_FRESH} SELECT entity, age_hours, coalesce(age_hours <= 3, false) AS fresh FROM fr", "age_hours")
@@ -427,7 +427,7 @@ def feed_status(t: Tables):
     "replay_coverage",
     f"""WITH {b.FORECAST_CTE}, stn AS (SELECT DISTINCT user_id // 50 AS entity FROM events), f AS (SELECT entity, ts, 'aqi' AS target, 6 AS horizon FROM fc UNION ALL SELECT entity, ts, 'pm25', 6 FROM fc WHERE hour(ts) % 2 = 0),
       s AS (SELECT f.* FROM f JOIN readings r ON f.target = 'pm25' AND r.entity = f.entity AND r.ts = f.ts + INTERVAL 6 HOUR)
-    SELECT target, horizon, (SELECT count(*) * 720 FROM stn) AS station_hours, count(*) AS forecast, count(*) / (SELECT count(*) * 720 FROM stn) AS forecast_share, (SELECT count(*) FROM s WHERE s.target = f.target) AS scored FROM f GROUP BY ALL""",
+    SELECT target, horizon, (SELECT count(*) * (SELECT date_diff('hour', min(ts), max(ts)) + 1 FROM events) FROM stn) AS station_hours, count(*) AS forecast, count(*) / (SELECT count(*) * (SELECT date_diff('hour', min(ts), max(ts)) + 1 FROM events) FROM stn) AS forecast_share, (SELECT count(*) FROM s WHERE s.target = f.target) AS scored FROM f GROUP BY ALL""",
     "forecast_share",
 )
 def replay_coverage(t: Tables):
@@ -436,7 +436,8 @@ def replay_coverage(t: Tables):
     a = f.select("entity", HOUR, F.lit("aqi").alias("target"), F.lit(6).alias("horizon"))
     p = f.where(F.hour("ts") % 2 == 0).select("entity", HOUR, F.lit("pm25").alias("target"), F.lit(6).alias("horizon"))
     scored = p.join(b.readings(t).select("entity", (F.col(HOUR) - 6).alias(HOUR)), ["entity", HOUR], "left_semi")
-    possible = stations(t).agg(F.count(F.lit(1)) * 720).scalar()
+    hours = t.events.agg(F.floor(F.unix_timestamp(F.max("ts").cast("timestamp")) / 3600) - F.floor(F.unix_timestamp(F.min("ts").cast("timestamp")) / 3600) + 1).scalar()
+    possible = stations(t).agg(F.count(F.lit(1)) * hours).scalar()
     return sv.replay_coverage(a.unionByName(p), scored, possible)
 
 

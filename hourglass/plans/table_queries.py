@@ -11,8 +11,6 @@ from ..operators.grid import HOUR, with_hour, with_label
 from . import bindings as b
 from .catalog import Tables, query
 
-_YEAR = "year(o_orderdate) = 1996"
-
 
 @query(
     "fact_dimension_join",
@@ -32,11 +30,10 @@ def reading_index_join(t: Tables):
     return b.joined_readings(t).select("entity", "ts", "pm25", "index_value")
 
 
-@query("orphan_rows", f"SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_YEAR})")
+@query("orphan_rows", "SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def orphan_rows(t: Tables):
-    """Customers without an order in one year."""
-    fact = t.customer.select("c_custkey", "c_name")
-    return tb.orphans(fact, t.orders.where(_YEAR).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Documents without a label."""
+    return tb.orphans(t.documents.select("doc_id", "source"), t.labels, "doc_id")
 
 
 @query(

@@ -9,6 +9,8 @@ from hourglass.plans.catalog import load_all
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = load_all()
+#: Results that can be empty on so few stations: nothing to alert about, no long gap, no closed episode.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_query_equals_sql(spark, con, name):
     problem = compare(spark, con, QUERIES[name], SF_DIR)
-    assert problem is None or problem.startswith("(note)") or problem == "no rows", problem
+    assert problem is None or problem.startswith("(note)") or problem == "no rows" and name in MAY_BE_EMPTY, problem
 
 
 def test_entry_points_agree():
