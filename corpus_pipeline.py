@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourglass.llm.common import documents, settle
+from hourglass.llm.common import documents, set_aside, settle
 from hourglass.llm.exact import deduplicate
 from hourglass.llm.langid import predict, train, training_sample
 from hourglass.llm.ngram_join import jaccard_join
@@ -16,16 +16,12 @@ from hourglass.llm.packing import pack
 from hourglass.llm.pii import sanitise
 from hourglass.llm.queries import pattern, vocabulary
 
-#: Below this mean probability no language is likely enough; a text without letters is rejected in any case.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the network recognises a language. NULL text, texts without letters and undecided texts go."""
-    given = {c: f"__given_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    found = predict(docs.withColumnsRenamed(given), train(training_sample(docs)))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
+    """Documents that have a language: NULL texts and texts without letters go, however sure the network is of the others they stay."""
+    given, back = set_aside(docs, ("doc_id", "text"))
+    found = predict(given, train(training_sample(docs)))
+    return found.filter("lang_pred <> 'und'").select(*back)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

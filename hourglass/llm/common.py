@@ -182,6 +182,13 @@ def library_encoder(path: str, pattern: str, fold: bool) -> Callable[[list[str]]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+def set_aside(df: DataFrame, used: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """The frame with all columns but ``used`` renamed out of the way, and the columns that name them back, in their order."""
+    used = set(used)
+    names = {c: f"__given_{i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.withColumnsRenamed(names), [F.col(names.get(c, f"`{c}`")).alias(c) for c in df.columns]
+
+
 def sliced(batch, rows: int = 128):
     """An Arrow batch in slices of few rows, so that what a task derives from long texts stays small."""
     for at in range(0, batch.num_rows, rows):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hourglass.llm.common import SPACE, buckets_wanted, settle
+from hourglass.llm.common import SPACE, buckets_wanted, set_aside, settle
 
 LEAD = 48
 SAMPLE_PER_RANGE = 20
@@ -86,21 +86,22 @@ def content_sort(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     separate members of which one is ``kept``. Input columns named like results are replaced. The sorted rows without their
     texts are settled once; an empty table gives no rows.
     """
-    source = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    carried = [c for c in source.columns if c != text]
-    rows, local, merged = sorted_groups(source, text, ident, carried)
+    given = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    source, back = set_aside(given, (text, ident))
+    rows, local, merged = sorted_groups(source, text, ident, [c for c in source.columns if c != text])
+    back = [b for b, name in zip(back, given.columns, strict=True) if name != text]
     groups = local.join(merged, ["__range", "__group"], "left").select(
         "__range", "__group", F.when(F.col("home").isNull(), F.col("least")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("size", "n").alias("group_size"), F.coalesce("home", F.col("__range")).alias("home")
     )
     kept = F.col("__new") & (F.col("__range") == F.col("home"))
-    return rows.join(groups, ["__range", "__group"]).select(*[F.col(f"`{c}`") for c in carried], "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.join(groups, ["__range", "__group"]).select(*back, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``content_sort`` keeps, with their columns and unchanged texts."""
-    given = {c: f"__given_{i}" for i, c in enumerate(docs.columns) if c not in (text, ident)}
-    rows, _, merged = sorted_groups(docs.withColumnsRenamed(given), text, ident, [given.get(c, c) for c in docs.columns])
+    source, back = set_aside(docs, (text, ident))
+    rows, _, merged = sorted_groups(source, text, ident, source.columns)
     # at most two rows for each range, whose number is a setting: small enough to broadcast
     elsewhere = F.broadcast(merged.filter("__range <> home").select("__range", "__group"))
     heads = rows.filter("__new").join(elsewhere, ["__range", "__group"], "left_anti")
-    return heads.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
+    return heads.select(*back)

@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from hourglass.llm.common import set_aside
 
 #: Public licence notices, as (licence, text).
 TEMPLATES = [
@@ -60,7 +62,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     repeat; columns named like results are replaced; no rows give no rows.
     """
     spark = files.sparkSession
-    rows = files.drop("licence", "licence_score", "origin", "licence_from").withColumns({"__path": F.coalesce(path, F.lit("")), "__version": F.xxhash64(text)})
+    given, back = set_aside(files.drop("licence", "licence_score", "origin", "licence_from"), (path, text))
+    rows = given.withColumns({"__path": F.coalesce(path, F.lit("")), "__version": F.xxhash64(text)})
     idf, other, weights = template_weights(TEMPLATES)
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))  # a few dozen fixed rows
     vectors = F.broadcast(spark.createDataFrame(weights, "licence string, template int, term string, weight double"))
@@ -85,7 +88,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     joined = rows.join(own, ["__path", "__version"], "left").withColumn("home", parent(F.col("__path"))).join(nearest, "home", "left")
     has_own = F.col("own").isNotNull()
     return joined.select(
-        *[F.col(f"`{c}`") for c in files.columns if c not in ("licence", "licence_score", "origin", "licence_from")],
+        *back,
         F.coalesce("own", "n.dir_licence").alias("licence"), F.when(has_own, F.col("own_score")).otherwise(F.col("n.dir_score")).alias("licence_score"),
         F.when(has_own, "own").when(F.col("n").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(~has_own, F.col("n.dir")).alias("licence_from"),
     )
