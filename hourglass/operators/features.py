@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,10 +26,6 @@ WEATHER_NAMES = {
 }
 
 
-def lag_columns(f: Frames, source: str, prefix: str, lags: Sequence[int]) -> dict[str, Column]:
-    return {f"{prefix}_lag_{k}h": f.at(source, -k) for k in lags}
-
-
 def statistic_columns(f: Frames, source: str, prefix: str, widths: Sequence[int]) -> dict[str, Column]:
     """Trailing mean, standard deviation, minimum and maximum; at least half of the window must be present."""
     out: dict[str, Column] = {}
@@ -62,21 +58,30 @@ def entity_features(
     base = grid.select(*by, HOUR, index, *sorted(present))
     nothing = F.lit(None).cast("double")
 
-    def own(source: str, make: Callable[[], dict[str, Column]]) -> dict[str, Column]:
-        """Frames over a column the grid has; plain NULLs, not frames, for one it lacks."""
-        return make() if source in present else {}
+    def points(source: str, prefix: str, lags: Sequence[int]) -> dict[str, tuple[str, int]]:
+        return {f"{prefix}_lag_{k}h": (source, -k) for k in lags}
+
+    # values at single hours: one frame for each distance gives all columns there at once
+    spots = {**points(index, "aqi", INDEX_LAGS), **{f"target_aqi_{h}h": (index, h) for h in horizons}}
+    for m in (m for m in measures if m in present):
+        spots.update(points(m, m, MEASURE_LAGS))
+    for short, c in weather.items():
+        spots.update(points(c, short, WEATHER_LAGS) if c in present else {})
+    if "pm25" in present:
+        spots.update({f"target_pm25_{h}h": ("pm25", h) for h in horizons})
+    distances = sorted({k for _, k in spots.values()})
+    spot = lambda k: f"__back_{-k}" if k < 0 else f"__ahead_{k}"
 
     def build(f: Frames) -> dict[str, Column]:
-        out = {"aqi_curr": F.col(index), **lag_columns(f, index, "aqi", INDEX_LAGS)}
-        for m in measures:
-            out.update(own(m, lambda m=m: {f"{m}_now": F.col(m), **lag_columns(f, m, m, MEASURE_LAGS)}))
+        out = {"aqi_curr": F.col(index), **{f"{m}_now": F.col(m) for m in measures if m in present}}
+        for k in distances:
+            out[spot(k)] = f.at(F.struct(*sorted({c for c, d in spots.values() if d == k})), k)
         out.update(statistic_columns(f, index, "aqi", STAT_WINDOWS))
-        out.update(own("pm25", lambda: statistic_columns(f, "pm25", "pm25", STAT_WINDOWS)))
-        for short, c in weather.items():
-            means = lambda short=short, c=c: {f"{short}_roll_mean_{w}h": f.mean(c, w, 1) for w in WEATHER_WINDOWS}
-            out.update(own(c, lambda short=short, c=c, means=means: {f"{short}_now": F.col(c), **lag_columns(f, c, short, WEATHER_LAGS), **means()}))
-        out.update({f"target_aqi_{h}h": f.at(index, h) for h in horizons})
-        out.update(own("pm25", lambda: {f"target_pm25_{h}h": f.at("pm25", h) for h in horizons}))
+        if "pm25" in present:
+            out.update(statistic_columns(f, "pm25", "pm25", STAT_WINDOWS))
+        for short, c in ((s, c) for s, c in weather.items() if c in present):
+            out[f"{short}_now"] = F.col(c)
+            out.update({f"{short}_roll_mean_{w}h": f.mean(c, w, 1) for w in WEATHER_WINDOWS})
         return out
 
     names = ["aqi_curr", *[f"aqi_lag_{k}h" for k in INDEX_LAGS]]
@@ -93,6 +98,9 @@ def entity_features(
     made = set(framed.columns)
 
     def cell(name: str) -> Column:
+        if name in spots:
+            source, k = spots[name]
+            return F.col(spot(k))[source].alias(name)
         inner = name.removesuffix("_curr") + "_now" if name != "aqi_curr" and name.endswith("_curr") else name
         return (F.col(inner) if inner in made else nothing).alias(name)
 
