@@ -112,6 +112,22 @@ def landed_csv_scan(t: Tables):
     return kept.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.count("pm25").alias("present"), F.sum("pm25").alias("total"))
 
 
+@query(
+    "discovered_files",
+    "SELECT 'station-' || (user_id // 50) AS entity, '.csv' AS extension, true AS has_content, count(DISTINCT date_trunc('day', ts)) AS days FROM events GROUP BY 1",
+)
+def discovered_files(t: Tables):
+    """Landed station folders listed without reading a file: one folder per station, one file per day."""
+    root = fs.scratch_folder(t.spark, "archive")
+    name = F.concat(F.lit("station-"), F.col("entity"))
+    rows = b.station_events(t).select(name.alias("station"), F.to_date("ts").cast("string").alias("day"), "event_id", "value")
+    rows.repartition("station", "day").write.partitionBy("station", "day").option("header", True).csv(root)
+    found = fs.discover(t.spark, root, pattern="*.csv")
+    folder = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "%3A", ":")
+    station = F.regexp_extract("path", "station=([^/]+)/", 1)
+    return found.groupBy(station.alias("entity"), "extension").agg((F.min("length") > 0).alias("has_content"), F.count_distinct(folder).alias("days"))
+
+
 @query(
     "landed_time_range",
     "SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 12:00:00' GROUP BY 1",

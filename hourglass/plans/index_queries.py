@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import calendar as cal, piecewise as pw
+from ..functions import calendar as cal, piecewise as pw, sql_functions
 from ..functions.hours import age_hours
 from ..operators import index as ix
 from ..operators.grid import with_label
@@ -149,6 +149,21 @@ def index_categories(t: Tables):
     ).agg(F.count(F.lit(1)).alias("hours"))
 
 
+@query(
+    "sql_index_functions",
+    f"""WITH {b.INDEX_CTE}, v AS (SELECT ts::DATE AS day, {b.sub_index_sql('pm25', 'pm25')} AS v FROM readings WHERE pm25 IS NOT NULL)
+    SELECT day, {_CAT} AS category, (v >= 51)::INT + (v >= 101)::INT + (v >= 201)::INT + (v >= 301)::INT + (v >= 401)::INT AS ordinal_class,
+      CASE WHEN v > 450 THEN 4 WHEN v >= 401 THEN 3 WHEN v >= 301 THEN 2 WHEN v >= 201 THEN 1 ELSE 0 END AS stage_number,
+      CASE WHEN floor(v) >= 451 THEN 'IV' WHEN floor(v) >= 401 THEN 'III' WHEN floor(v) >= 301 THEN 'II' WHEN floor(v) >= 201 THEN 'I' END AS stage_label,
+      count(*) AS hours FROM v GROUP BY ALL""",
+)
+def sql_index_functions(t: Tables):
+    """Sub-index, category, class and stage of every reading through the functions that SQL text can call."""
+    sql_functions.register(t.spark)
+    v = b.readings_ts(t).where("pm25 IS NOT NULL").selectExpr("to_date(ts) AS day", "sub_index_pm25(pm25) AS v")
+    return v.selectExpr("day", "index_category(v) AS category", "index_class(v) AS ordinal_class", "stage_number(v) AS stage_number", "stage_label(v) AS stage_label").groupBy("day", "category", "ordinal_class", "stage_number", "stage_label").agg(F.count(F.lit(1)).alias("hours"))
+
+
 @query(
     "daily_category_hours",
     f"""WITH {b.INDEX_CTE}, v AS (SELECT ts, index_value AS v FROM idx WHERE index_value IS NOT NULL)
