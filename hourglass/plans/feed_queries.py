@@ -218,16 +218,19 @@ def streamed_sliding_index(t: Tables):
     "streamed_episodes",
     f"""WITH {b.INDEX_CTE}, h AS (SELECT entity, ts, hourly_index AS v FROM hourly WHERE hourly_index >= 320), s AS (SELECT *, CASE WHEN date_diff('hour', lag(ts) OVER (PARTITION BY entity ORDER BY ts), ts) <= 4 THEN 0 ELSE 1 END AS s FROM h),
       g AS (SELECT *, sum(s) OVER (PARTITION BY entity ORDER BY ts) AS g FROM s), e AS (SELECT entity, min(ts) AS start_time, max(ts) AS end_time, max(v) AS peak, count(*) AS hours_above FROM g GROUP BY entity, g)
-    SELECT e.* FROM e WHERE end_time + INTERVAL '4 hours 1 second' < (SELECT max(ts) FROM h) - INTERVAL 192 HOUR""",
+    SELECT e.*, end_time + INTERVAL '4 hours 1 second' < (SELECT max(ts) FROM h) - INTERVAL 192 HOUR AS closed FROM e""",
     "peak",
 )
 def streamed_episodes(t: Tables):
-    """Bridged episodes as session windows; those closed by the watermark are emitted."""
+    """Bridged episodes as session windows of a bounded replay, with those the look-back can no longer change marked closed."""
     folder = fs.scratch_folder(t.spark, "stream")
     sessions = st.episode_sessions(_hour_stream(t), ["entity"], "ts", "hourly_index", 320.0)
-    st.run_available(sessions, st.batch_sink(folder), folder, mode="append")
+    st.run_available(sessions, st.batch_sink(folder), folder, mode="complete")
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return st.append_result(t.spark, folder).select("entity", ntz("start_time"), ntz("end_time"), "peak", "hours_above")
+    rows = st.newest_batch(t.spark, folder)
+    horizon = rows.agg(F.max("end_time") - F.expr(f"INTERVAL {st.LOOKBACK}")).scalar()
+    closed = F.col("end_time") + F.expr("INTERVAL '4:00:01' HOUR TO SECOND") < horizon
+    return rows.select("entity", ntz("start_time"), ntz("end_time"), "peak", "hours_above", closed.alias("closed"))
 
 
 @query("streamed_freshness", "SELECT user_id // 50 AS entity, max(ts) AS newest FROM events GROUP BY 1")

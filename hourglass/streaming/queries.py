@@ -88,6 +88,12 @@ def read_latest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFr
     return dedupe(spark.read.parquet(f"{folder}/data"), keys, ["batch_id"]).drop("batch_id")
 
 
+def newest_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Result of a complete-mode stream: its newest emission holds everything, open groups too."""
+    rows = spark.read.parquet(f"{folder}/data")
+    return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
 def append_result(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/data").drop("batch_id")
 
