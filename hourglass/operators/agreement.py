@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .grid import HOUR
+from .lineage import cut_lineage
 from .slots import slots_to_hours
 from .tables import offset_pairs
 
@@ -74,6 +75,8 @@ def gate_evidence(shadow: DataFrame, primary: DataFrame, entity: str, measures:
     The offset is chosen on the first half of the overlap, the judgement is made on the second half per station; the
     ``pooled`` scope covers the stations that pass alone, ``pooled_all`` every station.
     """
+    # every statistic below branches from the pairs: their two sides are made once
+    shadow, primary = (cut_lineage(side.select(entity, HOUR, *[m for m in measures if m in side.columns])) for side in (shadow, primary))
     pairs = paired_values(shadow, primary, entity, measures)
     # the overlap holds one element per calendar hour, so its sorted hours fit one array
     hours = pairs.agg(F.sort_array(F.collect_set(HOUR)).alias("h"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.piecewise import ordinal_class
+from .lineage import cut_lineage
 from .ranks import pick_quantiles, value_counts
 from .tables import as_of
 
@@ -237,8 +238,9 @@ def reliability_table(df: DataFrame, by: Sequence[str], outcome: str, probabilit
 def persistence_band(train: DataFrame, rows: DataFrame, actual: str, current: str, *, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Current value plus the train residual quantiles; the two quantiles enter as scalars."""
     counts = value_counts(train.select((F.col(actual) - F.col(current)).alias("residual")), [], "residual")
-    pick = lambda p: pick_quantiles(counts, [], "residual", {"q": p}).scalar()
-    return rows.select("*", (F.col(current) + pick(low)).alias("band_low"), (F.col(current) + pick(high)).alias("band_high"))
+    picked = cut_lineage(pick_quantiles(counts, [], "residual", {"low": low, "high": high}))
+    pick = lambda name: picked.select(name).scalar()
+    return rows.select("*", (F.col(current) + pick("low")).alias("band_low"), (F.col(current) + pick("high")).alias("band_high"))
 
 
 def neighbourhood_rate(train: DataFrame, rows: DataFrame, value: str, outcome: str, out: str, *, radius: float = 25.0, block: float = 0.25) -> DataFrame:
@@ -248,7 +250,7 @@ def neighbourhood_rate(train: DataFrame, rows: DataFrame, value: str, outcome: s
     (upper edge inclusive, lower edge exclusive) in one ordered pass, not a range join with its neighbours. ``block`` is the width of
     the value ranges the lookups are spread over.
     """
-    c = value_counts(train, [], value, {"hit": F.col(outcome).cast("long")})
+    c = cut_lineage(value_counts(train, [], value, {"hit": F.col(outcome).cast("long")}))
     steps = c.select(F.col(value).alias("__at"), (F.col("below") + F.col("n")).alias("__n"), (F.col("hit_below") + F.col("hit")).alias("__h"))
     edges = F.array(F.struct(F.lit(True).alias("__up"), (F.col(value) + radius).alias("__x")), F.struct(F.lit(False).alias("__up"), (F.col(value) - radius).alias("__x")))
     asked = rows.where(F.col(value).isNotNull()).select(value).distinct().select(value, F.inline(edges))

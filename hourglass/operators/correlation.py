@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .grid import HOUR
+from .lineage import cut_lineage
 from .ordered import BLOCK_ROWS, row_index, with_frames
 from .ranks import pick_quantiles, value_counts
 
@@ -142,6 +143,7 @@ def usability(df: DataFrame, columns: Sequence[str], *, pm25: str, index: str, h
     """Availability share of each weather column, its four correlations and a label."""
     cells = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in columns])
     n = F.count(F.lit(1))
+    df = cut_lineage(df.select(*dict.fromkeys([*columns, pm25, index])))
     avail = df.select(F.inline(cells)).groupBy("measure").agg(F.count("v").alias("available"), (100.0 * F.count("v") / n).alias("available_pct"))
     out = avail
     for ref, tag in ((pm25, "pm25"), (index, "index")):

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import cut_lineage
+
 
 def clustered_ols(df: DataFrame, outcome: str, regressors: Sequence[str], cluster: str, *, effects: str | None = None) -> DataFrame:
     """Coefficient table of ``outcome`` on ``regressors`` with errors clustered by ``cluster``.
@@ -19,7 +21,7 @@ def clustered_ols(df: DataFrame, outcome: str, regressors: Sequence[str], cluste
     xs = list(regressors)
     cols = [outcome, *xs]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(cluster).alias("__g"), (F.col(effects) if effects else F.lit(0)).alias("__e"))
-    rows = rows.dropna(subset=cols)
+    rows = cut_lineage(rows.dropna(subset=cols))  # read by four aggregations
     grand = rows.agg(F.avg(outcome)).scalar()
     if effects:
         means = rows.groupBy("__e").agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bootstrap as bs
+from .lineage import cut_lineage
 from .ranks import quantiles
 
 SEVERE = 401.0
@@ -244,6 +245,7 @@ def rolling_skill(scores: DataFrame, day: Column, entity: str, *, days: int = WI
     daily = scores.groupBy(*keys, day.alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("abs_err").alias("m"), F.sum("abs_err_persistence").alias("p"), F.sum("abs_err_window_update").alias("w")
     )
+    daily = cut_lineage(daily)  # day sums, read for the last day and for the windows
     last = daily.agg(F.max("day")).scalar()
     ends = F.sequence(F.col("day"), F.least(F.date_add("day", days - 1), last))
     windows = daily.select("*", F.explode(ends).alias("window_end"))
@@ -282,6 +284,7 @@ def failed_streaks(runs: DataFrame, job: str, status: str, started: str, *, last
 def alert_table(history: DataFrame, runs: DataFrame, *, days: int = 7, failures: int = 3, rule_horizons: Sequence[int] = (1, 6)) -> DataFrame:
     """Alert rows (key, title) from pooled rolling skill and the run log."""
     by = ["target", "horizon"]
+    history = cut_lineage(history)
     plain = negative_streak(history, by, "window_end", "skill_mae", "streak").where(F.col("streak") >= days)
     rule = negative_streak(history, by, "window_end", "skill_vs_window_update", "streak")
     rule = rule.where((F.col("streak") >= days) & (F.col("target") == "aqi") & F.col("horizon").isin(*rule_horizons))
