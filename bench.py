@@ -35,6 +35,10 @@ HEADLINE = [
     "source_agreement",
     "slots_to_hours",
     "price_regression",
+    "gate_evidence",
+    "alert_table",
+    "persistence_band",
+    "weather_usability",
 ]
 
 
