@@ -92,7 +92,7 @@ class ChunkTokens:
 
     TOUCHING = re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], lead: bool, most: int = 200_000_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], lead: bool, most: int = 320_000_000):
         self.encode, self.lead, self.most, self.held, self.known, self.older = encode, lead, most, 0, {}, {}
 
     def _learn(self, keys: set[str]) -> None:
