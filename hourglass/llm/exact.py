@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hourglass.llm.common import SPACE, buckets_wanted, set_aside, settle
 
 LEAD = 48
-SAMPLE_PER_RANGE = 20
+SAMPLE_PER_RANGE = 10
 
 
 def normalised(text: Column) -> Column:
