@@ -64,23 +64,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b), where root is the smallest node of its component.
 
     Each round points every neighbour of a node at the smallest node known there (large star, then small star), so the longest
-    chain halves. A round only shuffles edges and is settled; the driver sees one counter. Empty edges give no rows.
+    chain halves; it ends when every node but the roots has one link, to a root. A round only shuffles edges and is settled;
+    the driver sees two counts. Empty edges give no rows.
     """
-    links = settle(edges.select("a", "b").filter("a <> b").distinct())
-    previous = None
+    links = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
+        if not (n := links.count()):
+            break
+        roots = links.select("b").distinct()
+        if links.select("a").distinct().count() == n and links.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
+            break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        larger = both.join(least, both.a == least.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = larger.distinct()
-        small = down.groupBy("a").agg(F.min("b").alias("m"))
-        kept = down.join(small.withColumnRenamed("a", "n"), down.a == F.col("n"))
+        down = both.join(least, both.a == least.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        kept = down.join(small, down.a == F.col("n"))
         links = settle(kept.select("a", F.col("m").alias("b")).union(kept.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        state = tuple(links.agg(F.count("*"), F.sum(F.hash("a").cast("long")), F.sum(F.hash("b").cast("long"))).first())
-        if state == previous:
-            return links.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        previous = state
-    raise RuntimeError("components did not settle")
+    else:
+        raise RuntimeError("components did not settle")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 class ChunkTokens:
