@@ -180,8 +180,8 @@ class _Forest:
         return [self.top(x) for x in range(len(self.up))]
 
 
-def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts: bool) -> DataFrame:
-    """(a, b, links) for members (root, node, copies, sig[, text]) of candidate groups ``root``.
+def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts: DataFrame | None = None) -> DataFrame:
+    """(a, b, links) for members (root, node, version, copies, sig) of candidate groups ``root``; ``texts`` has (node, version, text).
 
     Groups of more than BLOCK members are cut into blocks, every pair of blocks is one task group; small groups share task
     groups. ``a`` is linked to ``b`` (or to itself only); ``links`` counts, with copies, the documents of this task group that
@@ -189,15 +189,17 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
     """
     import pyarrow as pa
 
-    light = members.drop("text")
-    sizes = light.groupBy("root").agg(F.count("*").alias("size"))
+    exact = texts is not None
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    # a shuffle join at every size: whether the members would fit a broadcast depends on the data
+    rows = members if texts is None else texts.join(members.hint("merge"), ["node", "version"]).dropDuplicates(["node", "version"])
     small = F.col("blocks") == 1
-    blocked = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    packs = max(1, light.count() // 128)
+    blocked = rows.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packs = max(1, members.count() // 128)
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))).alias("m")
     dealt = blocked.select("*", meets).select(
         F.when(small, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("g"), F.when(small, -1).otherwise(F.col("m.i")).alias("i"), F.col("m.j").alias("j"),
-        "root", "node", "copies", "own", "sig", *(["text"] if texts else []),
+        "root", "node", "copies", "own", "sig", *(["text"] if exact else []),
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -206,7 +208,7 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
         root, node, copies, own = (table.column(k).to_numpy() for k in ("root", "node", "copies", "own"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(len(node), -1)
         names = owners = None
-        if texts:
+        if exact:
             names, owners = exact_shingles(table.column("text").to_pylist())
             sizes = np.bincount(owners, minlength=len(node))
         first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -216,7 +218,7 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
             same = first == second or first < 0
             left, right = (part, part) if same else (part[own[part] == first], part[own[part] == second])
             i, j = plausible_pairs(sig[left], sig[right], same, threshold, tolerance)
-            if texts and len(i):
+            if exact and len(i):
                 mine = np.isin(owners, part)
                 both = common_counts(names[mine], owners[mine], len(node), left, right, i, j)
                 whole = sizes[left[i]] + sizes[right[j]] - both
@@ -249,11 +251,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOL
     met = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     groups = components(keyed.join(met, "key").select("a", F.col("node").alias("b")))
     heads = reps.select("words", "node", "version", "copies", "sig")
-    refined = components(compare_blocks(groups.join(heads.drop("words"), "node"), threshold, tolerance, texts=False))
+    refined = components(compare_blocks(groups.join(heads.drop("words"), "node"), threshold, tolerance))
     members = settle(refined.join(heads.drop("words"), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("version"), "text").join(members.select("node", "version").distinct(), ["node", "version"], "left_semi")
-    full = members.join(texts.dropDuplicates(["node", "version"]), ["node", "version"]).drop("version")
-    linked = settle(compare_blocks(full, threshold, tolerance, texts=True))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("version"), "text")
+    linked = settle(compare_blocks(members, threshold, tolerance, texts))
     counts = linked.groupBy("a").agg(F.sum("links").alias("links"))
     classes = components(linked.select("a", "b"))
     per_text = reps.select("words", "node", "copies").join(counts, F.col("node") == F.col("a"), "left").drop("a").join(classes.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
