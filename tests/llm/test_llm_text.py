@@ -53,6 +53,21 @@ def test_words_that_give_an_entity_away(spark):
     assert clean[999] == dict(rows)[999] and clean[3] == text.replace("zeb@mail.co", "[EMAIL]").replace("Zebulon", "" if "[NAME]" not in clean[3] else "[NAME]")
 
 
+def test_words_of_an_entity_in_one_text_and_far_from_it(spark):
+    common = "the people of this town were very fond of long walks and of quiet evenings"
+    rows = [(i, f"{common} number {i}") for i in range(400)] + [
+        (1000, f"Quillon wrote from mia@mail.co about {common}. Quillon {common}"), (1001, f"Vexar wrote from tom@mail.co. {common}"), (1002, f"tom@mail.co {common} {common} Vexar"),
+        *[(1100 + i, f"about wrote from {common}") for i in range(9)],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: r for r in pii.find(docs.union(docs.filter("doc_id = 1000"))).collect()}
+    named = lambda i: [text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",") if s) if k == "term"]
+    assert named(1000) == ["Quillon", "Quillon"] and named(1001) == named(1002) == ["Vexar"] and got[0].spans == got[1100].spans == ""
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1000] == text[1000].replace("mia@mail.co", "[EMAIL]").replace("Quillon", "[NAME]") and "Vexar" not in clean[1001] + clean[1002] and clean[1100] == text[1100]
+
+
 def test_personal_data_of_hard_rows(spark):
     docs = hard_rows(spark)
     assert pii.find(docs).count() == 14 and pii.find(no_rows(spark)).count() == 0
