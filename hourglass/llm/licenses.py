@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,12 +30,19 @@ TEMPLATES = [
 #: Every template has one of these; a line or text without any is not compared.
 MARKERS = r"(?i)licen[cs]e|copyright|rights reserved|redistribut|permission is|public domain"
 HEADER, FILE = 0.6, 0.35
+#: A whole text this near to a full text is that licence (other names and years: 0.95 or more; unlike licences: at most 0.8).
+FULL = 0.92
+FULL_TEXTS = Path(__file__).with_name("licence_texts")
 
 
 def terms(text: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    return [(p.name.removesuffix(".txt"), p.read_text()) for p in sorted(FULL_TEXTS.glob("*.txt"))]
+
+
 def template_weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float, list[tuple[str, int, str, float]]]:
     """idf by term, idf of any other term, and (licence, template, term, unit-length weight) of the templates."""
     n = len(templates)
@@ -52,11 +60,20 @@ def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
 
+def _scored(counted: DataFrame, known: DataFrame, vectors: DataFrame, other: float, unit: list[str]) -> DataFrame:
+    """(unit, licence, score): cosine of every unit's counted terms to every template that shares a term with it."""
+    weighed = counted.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    lengths = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = weighed.join(vectors, "term").groupBy(*unit, "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    return dots.join(lengths, unit).select(*unit, "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text", header: float = HEADER, whole: float = FILE) -> DataFrame:
     """The rows with licence, licence_score, origin (own, inherited, none) and licence_from (a directory, when inherited).
 
-    A file's own licence is that of its most similar line or whole text (score at least ``header``; ties: first licence). A file
-    whose whole text reaches ``whole`` is a licence file and speaks for its directory (best score, then first licence). Files
+    A file's own licence is that of the full licence text it repeats (score at least FULL), else of its most similar line or whole
+    text among the notices (score at least ``header``; ties: first licence). A file that repeats a full text, or else whose whole
+    text reaches ``whole`` on a notice, is a licence file and speaks for its directory (best score, then first licence). Files
     without a licence of their own take that of the nearest directory above them that has one; directories are resolved once
     each, so a directory with most files is still one row. NULL text is empty, a NULL path has no directories; repeated rows
     repeat; columns named like results are replaced; no rows give no rows.
@@ -72,20 +89,28 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     units = lines.unionByName(marked.select("__path", "__version", F.lit(-1).alias("unit"), F.col(text).alias("line")))
     words = units.select("__path", "__version", "unit", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")).alias("term")).filter("term <> ''")
     unit = ["__path", "__version", "unit"]
-    weighed = words.groupBy(*unit, "term").agg(F.count("*").alias("tf")).join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    lengths = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(vectors, "term").groupBy(*unit, "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(lengths, unit).select(*unit, "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    counted = words.groupBy(*unit, "term").agg(F.count("*").alias("tf"))
+    scored = _scored(counted, known, vectors, other, unit)
     best = lambda: F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")
-    own = scored.filter(F.col("score") >= header).groupBy("__path", "__version").agg(best()).select("__path", "__version", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"))
-    speaking = scored.filter((F.col("unit") == -1) & (F.col("score") >= whole) & (F.col("__path") != "")).groupBy(parent(F.col("__path")).alias("dir")).agg(best())
+    file = ["__path", "__version"]
+    idf, other, weights = template_weights(full_texts())
+    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))  # some thousand fixed rows
+    vectors = F.broadcast(spark.createDataFrame(weights, "licence string, template int, term string, weight double"))
+    entire = _scored(counted.filter("unit = -1"), known, vectors, other, unit).filter(F.col("score") >= FULL).withColumn("rank", F.lit(0))
+    notices = scored.filter(F.col("score") >= header).withColumn("rank", F.lit(1))
+    first = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "licence")).alias("b")
+    own = notices.unionByName(entire).groupBy(*file).agg(first).select(*file, F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), (F.col("b.rank") == 0).alias("is_full"))
+    loose = scored.filter((F.col("unit") == -1) & (F.col("score") >= whole)).groupBy(*file).agg(best())
+    files = loose.join(own, file, "full").filter((F.col("is_full") | F.col("b").isNotNull()) & (F.col("__path") != ""))
+    spoken = F.when(F.col("is_full"), F.struct("own_score", "own")).otherwise(F.struct((-F.col("b.minus")).alias("own_score"), F.col("b.licence").alias("own")))
+    speaking = files.withColumn("s", spoken).select("__path", F.col("s.own").alias("licence"), F.col("s.own_score").alias("score")).groupBy(parent(F.col("__path")).alias("dir")).agg(best())
     speaking = speaking.select("dir", F.col("b.licence").alias("dir_licence"), (-F.col("b.minus")).alias("dir_score"))
     directories = rows.select(parent(F.col("__path")).alias("home")).distinct()
     parts = F.split("home", "/")
     above = directories.select("home", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir"))), F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("dir"))))).alias("a")).select("home", "a.*")
     above = above.filter((F.col("dir") != "") | (F.col("depth") == 0))
     nearest = above.join(speaking, "dir").groupBy("home").agg(F.max_by(F.struct("dir", "dir_licence", "dir_score"), "depth").alias("n"))
-    joined = rows.join(own, ["__path", "__version"], "left").withColumn("home", parent(F.col("__path"))).join(nearest, "home", "left")
+    joined = rows.join(own.drop("is_full"), file, "left").withColumn("home", parent(F.col("__path"))).join(nearest, "home", "left")
     has_own = F.col("own").isNotNull()
     return joined.select(
         *back,

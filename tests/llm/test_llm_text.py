@@ -144,3 +144,11 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     ])
     docs = hard_rows(spark).withColumnRenamed("source", "path")
     assert licenses.scan(docs).count() == 14 and licenses.scan(docs.filter("false")).count() == 0
+
+
+def test_whole_licence_texts_speak_with_their_own_licence(spark):
+    full = dict(licenses.full_texts())
+    rows = [r for n, t in full.items() for r in ((f"{n}/LICENSE", t.replace("year", "2024").replace("holder", "Ann Example")), (f"{n}/x.py", "print(1)"))]
+    cut = full["Apache-2.0"].split("APPENDIX")[0] + "Copyright 2020 Ann Example"
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame([*rows, ("cut/LICENSE", cut), ("cut/x.py", "1")], "path string, text string")).collect()}
+    assert all(got[f"{n}/LICENSE"].licence == got[f"{n}/x.py"].licence == n for n in full) and got["cut/x.py"].licence == "Apache-2.0"
