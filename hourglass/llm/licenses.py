@@ -27,8 +27,11 @@ TEMPLATES = [
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Every template has one of these; a line or text without any is not compared.
+#: Every template has one of these; a single line or text without any is not compared.
 MARKERS = r"(?i)licen[cs]e|copyright|rights reserved|redistribut|permission is|public domain"
+#: The same in a block of lines, where words may be wrapped and lines begin with comment signs.
+WRAPPED = r"(?i)licen[cs]e|copyright|rights[^a-z0-9]+reserved|redistribut|permission[^a-z0-9]+is|public[^a-z0-9]+domain"
+BLOCK = 6  # lines of the longest block
 HEADER, FILE = 0.6, 0.35
 #: A whole text this near to a full text is that licence (other names and years: 0.95 or more; unlike licences: at most 0.8).
 FULL = 0.92
@@ -68,11 +71,23 @@ def _scored(counted: DataFrame, known: DataFrame, vectors: DataFrame, other: flo
     return dots.join(lengths, unit).select(*unit, "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
 
 
+def _blocks(rows: DataFrame, text: str) -> DataFrame:
+    """Runs of 2 to BLOCK neighbouring lines with a licence word in them, wherever they start: (path, version, unit, line)."""
+    given = rows.filter(F.col(text).rlike(WRAPPED)).select("__path", "__version", text).dropDuplicates(["__path", "__version"])
+    lines = F.split(text, "\n")
+    start = lambda i: F.struct(i.alias("at"), F.slice(lines, i, BLOCK).alias("lines"))
+    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size(lines)), start), lambda b: F.array_join(b.lines, "\n").rlike(WRAPPED))
+    parts = F.transform(F.sequence(F.lit(2), F.lit(BLOCK)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("b.lines", 1, n), "\n").alias("line")))
+    held = given.select("__path", "__version", F.explode(runs).alias("b")).select("__path", "__version", "b", F.explode(parts).alias("p"))
+    return held.filter((F.col("p.n") <= F.size("b.lines")) & F.col("p.line").rlike(WRAPPED)).select("__path", "__version", (F.col("b.at") * BLOCK + F.col("p.n")).alias("unit"), "p.line")
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text", header: float = HEADER, whole: float = FILE) -> DataFrame:
     """The rows with licence, licence_score, origin (own, inherited, none) and licence_from (a directory, when inherited).
 
     A file's own licence is that of the full licence text it repeats (score at least FULL), else of its most similar line or whole
-    text among the notices (score at least ``header``; ties: first licence). A file that repeats a full text, or else whose whole
+    text among the notices (score at least ``header``; ties: first licence), else of the most similar block of 2 to BLOCK
+    neighbouring lines, so that wrapped notices are found whole. A file that repeats a full text, or else whose whole
     text reaches ``whole`` on a notice, is a licence file and speaks for its directory (best score, then first licence). Files
     without a licence of their own take that of the nearest directory above them that has one; directories are resolved once
     each, so a directory with most files is still one row. NULL text is empty, a NULL path has no directories; repeated rows
@@ -90,7 +105,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     words = units.select("__path", "__version", "unit", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")).alias("term")).filter("term <> ''")
     unit = ["__path", "__version", "unit"]
     counted = words.groupBy(*unit, "term").agg(F.count("*").alias("tf"))
-    scored = _scored(counted, known, vectors, other, unit)
+    notice = (known, vectors, other)
+    scored = _scored(counted, *notice, unit)
     best = lambda: F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")
     file = ["__path", "__version"]
     idf, other, weights = template_weights(full_texts())
@@ -100,6 +116,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     notices = scored.filter(F.col("score") >= header).withColumn("rank", F.lit(1))
     first = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "licence")).alias("b")
     own = notices.unionByName(entire).groupBy(*file).agg(first).select(*file, F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), (F.col("b.rank") == 0).alias("is_full"))
+    blocks = _blocks(rows.join(own, file, "left_anti"), text)
+    words = blocks.select(*file, "unit", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")).alias("term")).filter("term <> ''")
+    wrapped = _scored(words.groupBy(*unit, "term").agg(F.count("*").alias("tf")), *notice, unit).filter(F.col("score") >= header)
+    wrapped = wrapped.groupBy(*file).agg(best()).select(*file, F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), F.lit(False).alias("is_full"))
+    own = own.unionByName(wrapped)
     loose = scored.filter((F.col("unit") == -1) & (F.col("score") >= whole)).groupBy(*file).agg(best())
     files = loose.join(own, file, "full").filter((F.col("is_full") | F.col("b").isNotNull()) & (F.col("__path") != ""))
     spoken = F.when(F.col("is_full"), F.struct("own_score", "own")).otherwise(F.struct((-F.col("b.minus")).alias("own_score"), F.col("b.licence").alias("own")))

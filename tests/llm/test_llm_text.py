@@ -152,3 +152,12 @@ def test_whole_licence_texts_speak_with_their_own_licence(spark):
     cut = full["Apache-2.0"].split("APPENDIX")[0] + "Copyright 2020 Ann Example"
     got = {r.path: r for r in licenses.scan(spark.createDataFrame([*rows, ("cut/LICENSE", cut), ("cut/x.py", "1")], "path string, text string")).collect()}
     assert all(got[f"{n}/LICENSE"].licence == got[f"{n}/x.py"].licence == n for n in full) and got["cut/x.py"].licence == "Apache-2.0"
+
+
+def test_wrapped_notices_are_found(spark):
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, other) + {i}" for i in range(300))
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    free = "# This is free and unencumbered software released into the public\n# domain."
+    files = [("m.c", f"{mpl}\n{code}"), ("u.py", f"{code}\n{free}\n{code}"), ("n.py", f"# no licence\n# of any kind\n{code}"), ("e.py", "licence")]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: (r.licence, r.origin) for p, r in got.items()} == {"m.c": ("MPL-2.0", "own"), "u.py": ("Unlicense", "own"), "n.py": (None, "none"), "e.py": (None, "none")}
