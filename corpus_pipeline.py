@@ -18,9 +18,13 @@ from hourglass.llm.queries import pattern, vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: NULL texts and texts without letters go, however sure the network is of the others they stay."""
+    """Documents that have a language: NULL texts and texts without letters go, however sure the network is of the others they stay.
+    Where there is nothing to learn from, texts with letters stay too."""
     given, back = set_aside(docs, ("doc_id", "text"))
-    found = predict(given, train(training_sample(docs)))
+    net = train(training_sample(docs))
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict(given, net)
     return found.filter("lang_pred <> 'und'").select(*back)
 
 

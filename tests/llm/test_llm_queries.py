@@ -58,6 +58,14 @@ def test_pipeline_by_brute_force(spark):
     assert {r.doc_id for r in pieces} == kept["personal_data"].keys() and max(r.offset + r.length for r in pieces) <= 1024
 
 
+def test_language_stage_keeps_texts_when_there_is_nothing_to_learn(spark):
+    import corpus_pipeline as cp
+
+    docs = hard_rows(spark).selectExpr("doc_id", "text", "cast(null as string) lang")
+    kept = cp.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() == 10 and kept.filter("doc_id in (3, 4, 9)").count() == 0
+
+
 def test_pipeline_stages_take_hard_rows(spark):
     import corpus_pipeline as cp
 
