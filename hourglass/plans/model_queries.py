@@ -139,7 +139,7 @@ def ridge_blend(t: Tables):
     train, _, test = _parts(model_frame(t))
     model = md.fit_ridge(train, BASE + ROLLS, TARGET, alpha=100.0)
     p = md.predict(model, test, BASE + ROLLS, keep=["entity", "ts", TARGET, CURRENT]).withColumn("prediction", md.blend("prediction", CURRENT))
-    return sc.skill_intervals(p, ["entity"], F.to_date("ts"), TARGET, "prediction", CURRENT, draws=200)
+    return sc.skill_intervals(p, ["entity"], F.to_date("ts"), TARGET, "prediction", CURRENT, draws=1000)
 
 
 @query("alpha_sweep")
@@ -196,7 +196,7 @@ def isotonic_calibration(t: Tables):
 def rolling_origin(t: Tables):
     """Ridge blend refitted per fold with intervals, one row per fold."""
     p = md.rolling_origin(model_frame(t), "ts", FOLDS, BASE + ROLLS, TARGET, CURRENT, alpha=100.0)
-    return sc.skill_intervals(p, ["fold"], F.to_date("ts"), TARGET, "prediction", CURRENT, draws=200)
+    return sc.skill_intervals(p, ["fold"], F.to_date("ts"), TARGET, "prediction", CURRENT, draws=1000)
 
 
 @query("scenario_audit")
@@ -211,7 +211,7 @@ def scenario_audit(t: Tables):
     frames = {"baseline": val, "no_no2": mask_scenario(val, "entity", {"*": ["no2_curr"]}), "no_pm10_one": mask_scenario(val, "entity", {0: ["pm10_curr"]})}
     p = cut_lineage(md.scenario_predictions(model, frames, cols, ["entity", HOUR], TARGET, CURRENT))
     base = p.where("scenario = 'baseline'").select("entity", HOUR, F.col("prediction").alias("base"))
-    return sc.paired_difference(with_label(p.join(base, ["entity", HOUR])), ["scenario"], F.to_date("ts"), TARGET, "prediction", "base", CURRENT, draws=200)
+    return sc.paired_difference(with_label(p.join(base, ["entity", HOUR])), ["scenario"], F.to_date("ts"), TARGET, "prediction", "base", CURRENT, draws=1000)
 
 
 @query("replayed_forecasts")
