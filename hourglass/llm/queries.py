@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourglass.llm.catalog import QUERIES, SQL, query
 from hourglass.llm.common import WORD_PATTERN, documents
 from hourglass.llm.exact import content_sort
+from hourglass.llm.fim import restore, transform
 from hourglass.llm.fingerprint import edited_pairs
 from hourglass.llm.langid import identify
 from hourglass.llm.licenses import oracle, scan
@@ -109,3 +110,10 @@ def op3(spark, sf_dir):
     block = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.concat_ws("/", "source", block(1000), block(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan(documents(spark, sf_dir).select("doc_id", "text", path.alias("path"))).drop("text")
+
+
+@query("op13_displacement_fim")
+def op13(spark, sf_dir):
+    made = restore(transform(documents(spark, sf_dir).select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c), 256).alias(c.replace("fim_text", "output") + "_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("fim_text"), digest("restored"))
