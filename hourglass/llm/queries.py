@@ -16,6 +16,7 @@ from hourglass.llm.ngram_join import jaccard_join
 from hourglass.llm.packing import pack
 from hourglass.llm.pii import find
 from hourglass.llm.quality import score
+from hourglass.llm.secrets import find as find_secrets
 from hourglass.llm.token_files import token_digest
 
 
@@ -112,6 +113,13 @@ def op3(spark, sf_dir):
     return scan(documents(spark, sf_dir).select("doc_id", "text", path.alias("path"))).drop("text")
 
 
+@query("op12_layered_secrets")
+def op12(spark, sf_dir):
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = ["n_assign", "n_access", "n_hex"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_layers", "complete")
+
+
 @query("op13_displacement_fim")
 def op13(spark, sf_dir):
     made = restore(transform(documents(spark, sf_dir).select("doc_id", "text")))
