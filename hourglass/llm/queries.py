@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hourglass.llm.bpe import encode_decode
 from pyspark.sql import functions as F
 
+from hourglass.llm.align import align
+from hourglass.llm.bpe import encode_decode
 from hourglass.llm.catalog import QUERIES, SQL, query
 from hourglass.llm.common import WORD_PATTERN, documents
 from hourglass.llm.exact import content_sort
@@ -113,6 +114,11 @@ def op3(spark, sf_dir):
     return scan(documents(spark, sf_dir).select("doc_id", "text", path.alias("path"))).drop("text")
 
 
+@query("op11_fragment_alignment")
+def op11(spark, sf_dir):
+    return align(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), pattern()).documents
+
+
 @query("op12_layered_secrets")
 def op12(spark, sf_dir):
     found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
