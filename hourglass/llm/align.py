@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -29,20 +30,20 @@ TOUCHING = re.compile(r" (?:\s|\Z)|\A ")
 RANGE, HALO = 65_536, 4_096  # code points of a range; code points searched for a fresh start beside a range edge
 BLOCK = 4_000_000  # code points of short texts that share one table of id pairs
 FAN = 16  # fragments composed at a time
-REMEMBERED = 150_000  # words of one generation of the memory
+REMEMBERED = 300_000  # words of one generation of the memory
+LARGE = 4096  # links of a group from which its pairs are counted by distinct ids
 WORD = 100  # longer words are not remembered
 
 Ids = tuple[int, ...]
 
 
 class Record(NamedTuple):
-    """What a stretch between two fresh starts gives: its tokens, groups and linked id pairs (a << 32 | b, with how often)."""
+    """Closed groups: their tokens, links and linked id pairs (a << 32 | b, with how often)."""
 
     a: int
     b: int
     groups: int
     links: int
-    size: int
     exact: bool
     text: str
     pairs: list[int]
@@ -50,11 +51,14 @@ class Record(NamedTuple):
 
 
 class Fragment(NamedTuple):
-    """``head`` is open to the left and ends with the first cut; ``tail`` is open to the right; without a cut all is in ``head``."""
+    """``head`` is open to the left and ends with the first cut; ``tail`` is open to the right; without a cut all is in ``head``.
+
+    What is closed is a record of groups, or a word: a whole stretch between fresh starts.
+    """
 
     cut: bool
     head: tuple[Ids, Ids]
-    closed: tuple[Record, ...]
+    closed: tuple[Record | str, ...]
     tail: tuple[Ids, Ids]
 
 
@@ -92,10 +96,10 @@ def _pairs_of(groups: Iterable[tuple[Ids, Ids]]) -> Counter:
     return pairs
 
 
-def groups_record(groups: list[tuple[Ids, Ids]], size: int = 0, exact: bool = True) -> Record:
+def groups_record(groups: list[tuple[Ids, Ids]]) -> Record:
     pairs = _pairs_of(groups)
     text = ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
-    return Record(sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups), size, exact, text, list(pairs), list(pairs.values()))
+    return Record(sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups), True, text, list(pairs), list(pairs.values()))
 
 
 def group_record(a: Ids, b: Ids) -> Record:
@@ -124,80 +128,123 @@ def fragment(a: Iterable[tuple[int, int]], b: Iterable[tuple[int, int]]) -> Frag
 
 
 class Coder:
-    """Tokens of both vocabularies, with a bounded memory of the records of words."""
+    """Tokens of both vocabularies, with a bounded memory of the ids of words (two generations)."""
 
     def __init__(self, byte_file: str, piece_file: str, pattern: str):
+        import numpy as np
         import sentencepiece
 
         self.encode_a = library_encoder(byte_file, pattern, False)
         back = {letter: b for b, letter in enumerate(byte_letters())}
         with open(byte_file, encoding="utf-8") as source:
-            self.bytes_a = {i: bytes(back[c] for c in entry) for entry, i in json.load(source)["model"]["vocab"].items() if all(c in back for c in entry)}
+            entries = {i: bytes(back[c] for c in entry) for entry, i in json.load(source)["model"]["vocab"].items() if all(c in back for c in entry)}
+        self.bytes_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces of the vocabulary go on across a space")
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, Record] = {}
-        self.older: dict[str, Record] = {}
-
-    def tokens(self, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """Each word with its ids in both vocabularies, encoded with the space before it."""
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            yield from zip(part, self.encode_a([" " + w for w in part]), self.model.encode(part, num_threads=1), strict=True)
-
-    def ended(self, a: list[int], b: list[int], start: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Ids with the byte places where their tokens end."""
-        out = []
-        for ids, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            at, tokens = start, []
-            for i in ids:
-                at += len(table[i])
-                tokens.append((i, at))
-            out.append(tokens)
-        return out[0], out[1]
-
-    def _record(self, word: str, a: list[int], b: list[int]) -> Record:
-        plain = b" " + word.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != plain or b"".join([self.bytes_b[i] for i in b]) != plain:
-            return Record(0, 0, 0, 0, len(plain), False, "", [], [])
-        if len(a) == 1 or len(b) == 1:
-            return groups_record([(tuple(a), tuple(b))], len(plain))
-        found = compose(compose(EDGE, fragment(*self.ended(a, b))), EDGE)
-        if len(found.closed) == 1:
-            return found.closed[0]._replace(size=len(plain))
-        return merged(found.closed)._replace(size=len(plain))
-
-    def records(self, words: Iterable[str]) -> dict[str, Record]:
-        """The records of distinct words."""
-        wanted = set(words)
+        self.sizes = [np.array([len(t) for t in table], "int64") for table in (self.bytes_a, self.bytes_b)]
+        #: Each id as it is spelled inside a group and at its end.
+        self.spelled = [f"{i}{mark}" for table, end in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(table)) for mark in (",", end)]
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def ids(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of distinct words in both vocabularies, as little-endian 32-bit numbers; each is encoded with the space before it."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        known, out, missing = self.known, {}, []
-        for w in wanted:
-            if (r := known.get(w)) is None and (r := self.older.get(w)) is not None:
-                known[w] = r
-            if r is None:
-                missing.append(w)
-            else:
-                out[w] = r
-        for w, a, b in self.tokens(missing):
-            out[w] = r = self._record(w, a, b)
+        known, older = self.known, self.older
+        out = [known.get(w) or older.get(w) for w in words]
+        missing = [i for i, got in enumerate(out) if got is None]
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            fresh = [words[i] for i in part]
+            for i, a, b in zip(part, self.encode_a([" " + w for w in fresh]), self.model.encode(fresh, num_threads=1), strict=True):
+                out[i] = array("I", a).tobytes(), array("I", b).tobytes()
+        for w, got in zip(words, out, strict=True):
             if len(w) <= WORD:
-                known[w] = r
+                known[w] = got
         return out
 
+    def ended(self, word: str, start: int = 0) -> list[list[tuple[int, int]]] | None:
+        """Ids of a word with the byte places where their tokens end, by vocabulary; None where they do not spell it."""
+        import numpy as np
 
-def merged(records: Iterable[Record]) -> Record:
-    """One record for neighbouring closed stretches."""
-    records = list(records)
-    pairs: Counter = Counter()
-    for r in records:
-        for p, n in zip(r.pairs, r.times, strict=True):
-            pairs[p] += n
-    total = lambda name: sum(getattr(r, name) for r in records)
-    return Record(total("a"), total("b"), total("groups"), total("links"), total("size"), all(r.exact for r in records), ";".join([r.text for r in records if r.text]), list(pairs), list(pairs.values()))
+        out = []
+        for coded, table in zip(self.ids([word])[0], (self.bytes_a, self.bytes_b), strict=True):
+            ids = np.frombuffer(coded, "<u4").tolist()
+            if b"".join([table[i] for i in ids]) != b" " + word.encode():
+                return None
+            out.append(list(zip(ids, (start + np.cumsum([len(table[i]) for i in ids])).tolist(), strict=True)))
+        return out
+
+
+class Words(NamedTuple):
+    """Arrays over words (tokens, groups, links, whether the tokens spell them), their texts (each group ends with ``;``), and the id
+    pairs of all words in order, with how often and how many rows each word has."""
+
+    a: object
+    b: object
+    groups: object
+    links: object
+    exact: object
+    texts: list[str]
+    pairs: object
+    times: object
+    counts: object
+
+
+def words_aligned(coder: Coder, words: list[str]) -> Words:
+    """All words aligned at once: their bytes lie one behind the other, and every word's end is a cut."""
+    import numpy as np
+
+    count = len(words)
+    coded = coder.ids(words)
+    plain = [b" " + w.encode() for w in words]
+    size = np.array([len(p) for p in plain], "int64")
+    exact = np.ones(count, bool)
+    sides = []
+    for side, table in enumerate((coder.bytes_a, coder.bytes_b)):
+        raw = [c[side] for c in coded]
+        ids = np.frombuffer(b"".join(raw), "<u4").astype("int64")
+        each = np.array([len(r) for r in raw], "int64") // 4
+        if b"".join([table[i] for i in ids.tolist()]) != b"".join(plain):
+            for i, r in enumerate(raw):
+                exact[i] &= b"".join([table[j] for j in np.frombuffer(r, "<u4").tolist()]) == plain[i]
+        sides.append((ids, each))
+    (a, n_a), (b, n_b) = [(ids[np.repeat(exact, each)], np.where(exact, each, 0)) for ids, each in sides]
+    ends = [np.cumsum(sizes[ids]) for sizes, ids in zip(coder.sizes, (a, b), strict=True)]
+    cuts = np.intersect1d(*ends, assume_unique=True)
+    group_a, group_b = (np.searchsorted(cuts, e) for e in ends)
+    in_a, in_b = (np.bincount(g, minlength=len(cuts)) for g in (group_a, group_b))
+    kept = np.flatnonzero(exact)
+    word = kept[np.searchsorted(np.cumsum(size[kept]), cuts)]
+    links = in_a * in_b
+    total = lambda values: np.bincount(word, values, count).astype("int64")
+
+    first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    codes = np.empty(len(a) + len(b), "int64")
+    codes[np.arange(len(a)) + first_b[group_a]] = 2 * a + (np.arange(len(a)) == (first_a + in_a - 1)[group_a])
+    codes[np.arange(len(b)) + (first_a + in_a)[group_b]] = 2 * (len(coder.bytes_a) + b) + (np.arange(len(b)) == (first_b + in_b - 1)[group_b])
+    spelled = list(map(coder.spelled.__getitem__, codes.tolist()))
+    edges = np.cumsum(n_a + n_b).tolist()
+    texts = ["".join(spelled[x:y]) for x, y in zip([0, *edges], edges, strict=False)]
+
+    small = links <= LARGE
+    mine = np.flatnonzero(small[group_a])
+    each = in_b[group_a[mine]]
+    right = np.repeat(first_b[group_a[mine]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    pairs, of = np.repeat(a[mine], each) << 32 | b[right], np.repeat(word[group_a[mine]], each)
+    times = np.ones(len(pairs), "int64")
+    if not small.all():
+        for g in np.flatnonzero(~small).tolist():
+            found = _pairs_of([(tuple(a[first_a[g] : first_a[g] + in_a[g]].tolist()), tuple(b[first_b[g] : first_b[g] + in_b[g]].tolist()))])
+            pairs, times = np.append(pairs, list(found)), np.append(times, list(found.values()))
+            of = np.append(of, np.full(len(found), word[g]))
+        order = np.argsort(of, kind="stable")
+        pairs, times, of = pairs[order], times[order], of[order]
+    return Words(n_a, n_b, total(None), total(links), exact, texts, pairs, times, np.bincount(of, minlength=count))
 
 
 @lru_cache(maxsize=2)
@@ -211,15 +258,15 @@ def words_of(text: str) -> list[str]:
 
 
 class Numbers(dict):
-    """Numbers of words in the order of their first use, with their records."""
+    """Numbers of closed stretches in the order of their first use."""
 
-    def __init__(self, records: dict[str, Record]):
+    def __init__(self):
         super().__init__()
-        self.source, self.records = records, []
+        self.items_ = []
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.records)
-        self.records.append(self.source[word])
+    def __missing__(self, item) -> int:
+        self[item] = n = len(self.items_)
+        self.items_.append(item)
         return n
 
 
@@ -227,50 +274,58 @@ UNIT = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "ex
 
 
 class Block:
-    """Records of several texts (or one range), and the table of id pairs that they share."""
+    """Words of several texts, or the closed stretches of one range, and the table of id pairs that they share."""
 
     def __init__(self):
-        self.numbers, self.units, self.size = Numbers({}), [], 0
+        self.numbers, self.units, self.records, self.size = Numbers(), [], [], 0
 
-    def add(self, records: dict[str, Record], words: list[str]) -> None:
+    def add(self, closed) -> None:
+        """One more unit: words, and records of groups, in order."""
         import numpy as np
 
-        self.numbers.source = records
-        self.units.append(np.fromiter(map(self.numbers.__getitem__, words), "int64", len(words)))
-        self.size += sum(map(len, words))
+        held = []
+        for c in closed:
+            if isinstance(c, Record):
+                self.records.append(c)
+                held.append(-len(self.records))
+            else:
+                held.append(self.numbers[c])
+        self.units.append(np.array(held, "int64"))
 
-    def add_closed(self, records: tuple[Record, ...]) -> None:
+    def add_words(self, words: list[str]) -> None:
         import numpy as np
 
-        self.numbers.source = {id(r): r for r in records}
-        self.units.append(np.fromiter((self.numbers[id(r)] for r in records), "int64", len(records)))
+        self.units.append(np.fromiter(map(self.numbers.__getitem__, words), "int64", len(words)))
 
-    def tables(self, digest: bool):
+    def tables(self, coder: Coder, digest: bool):
         """Columns of UNIT for every unit, and (a, b, units that hold the pair) of the shared pairs; ``text`` is digested or whole."""
         import numpy as np
 
-        records = self.numbers.records
-        table = {name: np.array([getattr(r, name) for r in records], "int64") for name in ("a", "b", "groups", "links", "exact")}
-        texts = [r.text for r in records]
-        exact = np.array([bool(table["exact"][u].all()) for u in self.units])
-        units = [u if ok else u[:0] for u, ok in zip(self.units, exact, strict=True)]
-        sums = [[int(table[name][u].sum()) for u in units] for name in ("a", "b", "groups", "links")]
-        spelled = [";".join([texts[i] for i in u.tolist() if texts[i]]) for u in units]
+        made = words_aligned(coder, self.numbers.items_)
+        more = self.records[::-1]  # a record has a number below 0, which counts from the end
+        joined_ = lambda values, name: np.concatenate([values, np.array([getattr(r, name) for r in more], values.dtype)])
+        table = [joined_(values, name) for values, name in zip(made[:4], Record._fields, strict=False)]
+        texts = made.texts + [r.text + ";" for r in more]
+        fine = joined_(made.exact, "exact")
+        exact = np.array([bool(fine[u].all()) for u in self.units], bool)
+        units = [u % len(texts) if ok and len(u) else u[:0] for u, ok in zip(self.units, exact, strict=True)]
+        sums = [[int(values[u].sum()) for u in units] for values in table]
+        spelled = ["".join([texts[i] for i in u.tolist()])[:-1] for u in units]
         if digest:
             spelled = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in spelled]
 
-        counts = np.array([len(r.pairs) for r in records], "int64")
-        packed = np.fromiter((p for r in records for p in r.pairs), "int64", int(counts.sum()))
-        times = np.fromiter((n for r in records for n in r.times), "int64", int(counts.sum()))
+        counts = np.concatenate([made.counts, np.array([len(r.pairs) for r in more], "int64")])
+        packed = np.concatenate([made.pairs, np.array([p for r in more for p in r.pairs], "int64")])
+        times = np.concatenate([made.times, np.array([n for r in more for n in r.times], "int64")])
         pairs, ref = np.unique(packed, return_inverse=True)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        # words of each unit, once with how often; then their pairs, once with how often
+        first = np.cumsum(counts) - counts
+        # stretches of each unit, once with how often; then their pairs, once with how often
         flat = np.concatenate([*units, np.zeros(0, "int64")])
         unit = np.repeat(np.arange(len(units)), [len(u) for u in units])
-        word, often = np.unique(unit * max(1, len(records)) + flat, return_counts=True)
-        unit, flat = np.divmod(word, max(1, len(records)))
+        word, often = np.unique(unit * max(1, len(texts)) + flat, return_counts=True)
+        unit, flat = np.divmod(word, max(1, len(texts)))
         each = counts[flat]
-        place = np.repeat(first[flat] - np.concatenate([[0], np.cumsum(each)[:-1]])[: len(flat)], each) + np.arange(int(each.sum()))
+        place = np.repeat(first[flat] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         held, where = np.unique(np.repeat(unit, each) * max(1, len(pairs)) + ref[place], return_inverse=True)
         weight = np.bincount(where, np.repeat(often, each) * times[place], len(held)).astype("int64")
         unit, ref = np.divmod(held, max(1, len(pairs)))
@@ -294,12 +349,12 @@ def _schema(columns: dict[str, str]) -> str:
     return ", ".join(f"{k} {v}" for k, v in columns.items())
 
 
-def _rows(lead: list, block: Block, digest: bool, behind: list):
+def _rows(coder: Coder, lead: list, block: Block, digest: bool, behind: list):
     """An Arrow batch with the units of a block; the first row carries the table of pairs."""
     import numpy as np
     import pyarrow as pa
 
-    (a, b, groups, links, exact, text, refs, times), table = block.tables(digest)
+    (a, b, groups, links, exact, text, refs, times), table = block.tables(coder, digest)
     edges = np.concatenate([[0], np.full(len(text), len(table[0]))])
     longs = [pa.array(c, pa.int64()) for c in (a, b, groups, links)]
     shared = [_lists(edges, np.asarray(t)) for t in table]
@@ -316,14 +371,13 @@ def short_units(docs: DataFrame, byte_file: str, piece_file: str, pattern: str)
 
         def done() -> pa.RecordBatch:
             lead = [pa.array([number] * len(ids), pa.int64()), pa.array(ids, pa.int64())]
-            return pa.RecordBatch.from_arrays(_rows(lead, block, True, []), names=list(SHORT))
+            return pa.RecordBatch.from_arrays(_rows(coder, lead, block, True, []), names=list(SHORT))
 
         for batch in batches:
             for part in sliced(batch):
-                split = [words_of(t) if t else [] for t in part.column(1).to_pylist()]
-                records = coder.records(w for words in split for w in words)
-                for words in split:
-                    block.add(records, words)
+                for text in part.column(1).to_pylist():
+                    block.add_words(words_of(text) if text else [])
+                    block.size += len(text)
                 ids += part.column(0).to_pylist()
                 if block.size > BLOCK or len(ids) >= 16_384:
                     yield done()
@@ -378,25 +432,23 @@ def ranges(docs: DataFrame, size: int, halo: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, names)
 
 
-BAD = Record(0, 0, 0, 0, 0, False, "", [], [])
+BAD = Record(0, 0, 0, 0, False, "", [], [])
 
 
 def range_fragment(coder: Coder, first: int, last: int, begin: int, text: str) -> Fragment:
-    """The fragment of the bytes (first, last], from a text that begins at byte ``begin``; closed is BAD where bytes differ."""
-    words = words_of(text)
-    records = coder.records(words)
-    if not all(r.exact for r in records.values()):
-        return Fragment(True, NOTHING, (BAD,), NOTHING)
+    """The fragment of the bytes (first, last], from a text that begins at byte ``begin``; closed is BAD where tokens do not spell
+    a word at an edge."""
     made, inside, at = EDGE if first == 0 else EMPTY, [], begin
-    for w in words:
-        start, at = at, at + records[w].size
+    for w in words_of(text):
+        start, at = at, at + 1 + len(w.encode())
         if first <= start and at <= last:
-            inside.append(records[w])
+            inside.append(w)
             continue
         if inside:
             made, inside = compose(made, Fragment(True, NOTHING, tuple(inside), NOTHING)), []
-        ((_, a, b),) = coder.tokens([w])
-        made = compose(made, fragment(*[[t for t in side if first < t[1] <= last] for side in coder.ended(a, b, start)]))
+        if (sides := coder.ended(w, start)) is None:
+            return Fragment(True, NOTHING, (BAD,), NOTHING)
+        made = compose(made, fragment(*[[t for t in side if first < t[1] <= last] for side in sides]))
     return compose(made, Fragment(True, NOTHING, tuple(inside), NOTHING)) if inside else made
 
 
@@ -411,10 +463,10 @@ def leaves(parts: DataFrame, byte_file: str, piece_file: str, pattern: str) -> D
             for row in batch.to_pylist():
                 made = range_fragment(coder, row["first"], row["last"], row["begin"], row["text"])
                 block = Block()
-                block.add_closed(made.closed)
+                block.add(made.closed)
                 lead = [pa.array([v], k) for v, k in ((number, pa.int64()), (row["key"], pa.int64()), (row["part"], pa.int32()), (row["doc_id"], pa.int64()))]
                 open_ = [pa.array([made.cut], pa.bool_()), *[pa.array([list(side)], ids) for side in (*made.head, *made.tail)]]
-                yield pa.RecordBatch.from_arrays(_rows(lead, block, False, open_), names=list(LEAVES))
+                yield pa.RecordBatch.from_arrays(_rows(coder, lead, block, False, open_), names=list(LEAVES))
                 number -= 1
 
     return parts.mapInArrow(run, _schema(LEAVES))
