@@ -199,6 +199,94 @@ def rolling_origin(t: Tables):
     return sc.skill_intervals(p, ["fold"], F.to_date("ts"), TARGET, "prediction", CURRENT, draws=1000)
 
 
+def two_feature_frame(t: Tables):
+    """Forecast rows with the measured PM2.5 of their hour, which has gaps: two features that SQL can solve for."""
+    return b.forecast_frame(t).join(b.readings(t).select("entity", HOUR, "pm25"), ["entity", HOUR], "left")
+
+
+_TWO = f"""{b.FORECAST_CTE}, x AS (SELECT fc.entity, fc.ts, y_true AS y, y_curr AS c, pm25 AS p FROM fc LEFT JOIN readings r ON r.entity = fc.entity AND r.ts = fc.ts)"""
+
+
+def two_feature_ridge(source: str, keys: str, alpha: str) -> str:
+    """CTEs ``md`` and ``w``: medians, and the two weights of a ridge on z-scores, per ``keys`` of the rows of ``source``."""
+    return f"""md AS (SELECT {keys}, quantile_cont(c, 0.5) AS mc, quantile_cont(p, 0.5) AS mp FROM {source} GROUP BY ALL),
+    tf AS (SELECT {keys}, y, coalesce(c, mc) AS c, coalesce(p, mp) AS p FROM {source} JOIN md USING ({keys})),
+    st AS (SELECT {keys}, count(*) AS n, avg(y) AS ym, avg(c) AS cm, avg(p) AS pm, stddev_pop(c) AS cs, stddev_pop(p) AS ps, covar_pop(c, p) AS cp, covar_pop(c, y) AS cy, covar_pop(p, y) AS py FROM tf GROUP BY ALL),
+    sy AS (SELECT *, n + {alpha} AS d, n * cp / (cs * ps) AS o, n * cy / cs AS b1, n * py / ps AS b2 FROM st),
+    w AS (SELECT *, (b1 * d - o * b2) / (d * d - o * o) AS w1, (d * b2 - o * b1) / (d * d - o * o) AS w2 FROM sy)"""
+
+
+_RIDGE_SQL = "ym + w1 * (coalesce(c, mc) - cm) / cs + w2 * (coalesce(p, mp) - pm) / ps"
+_FOLD_SQL = f"""WITH {_TWO}, f AS (SELECT * FROM (VALUES ('first', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-18 23:59:59'), ('second', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-26 23:59:59')) v(fold, lo, hi)),
+    tr AS (SELECT fold, y, c, p FROM x JOIN f ON ts < lo - INTERVAL 24 HOUR), {two_feature_ridge("tr", "fold", "1000")},
+    te AS (SELECT fold, n AS n_train, y, c, 0.5 * c + 0.5 * ({_RIDGE_SQL}) AS p FROM x JOIN f ON ts BETWEEN lo AND hi JOIN md USING (fold) JOIN w USING (fold)),
+    sc AS (SELECT fold, n_train, count(*) AS n_test, avg(abs(p - y)) AS mae, sqrt(avg((p - y) ** 2)) AS rmse, 1 - sum((p - y) ** 2) / (count(*) * var_pop(y)) AS r2,
+      avg(abs(c - y)) AS persistence_mae, sqrt(avg((c - y) ** 2)) AS persistence_rmse FROM te GROUP BY ALL),
+    folds AS (SELECT *, 1 - mae / persistence_mae AS skill_mae, 1 - rmse / persistence_rmse AS skill_rmse FROM sc)"""
+
+
+def _fold_scores(t: Tables):
+    p = md.rolling_origin(two_feature_frame(t), "ts", FOLDS, ["y_curr", "pm25"], "y_true", "y_curr")
+    return md.fold_scores(p, "y_true", "y_curr")
+
+
+@query("rolling_origin_folds", f"{_FOLD_SQL} SELECT * FROM folds", "mae rmse r2 persistence_mae persistence_rmse skill_mae skill_rmse")
+def rolling_origin_folds(t: Tables):
+    """Scores of the blend of a two-feature ridge and persistence per fold."""
+    return _fold_scores(t)
+
+
+@query(
+    "rolling_origin_summary",
+    f"{_FOLD_SQL} SELECT avg(skill_mae) AS mean_skill_mae, stddev_pop(skill_mae) AS std_skill_mae, avg(skill_rmse) AS mean_skill_rmse, stddev_pop(skill_rmse) AS std_skill_rmse, count(*) AS folds FROM folds",
+    "mean_skill_mae std_skill_mae mean_skill_rmse std_skill_rmse",
+)
+def rolling_origin_summary(t: Tables):
+    """Mean and population deviation of both skills over the folds."""
+    return md.fold_summary(_fold_scores(t), "skill_mae", "skill_rmse")
+
+
+@query(
+    "penalty_sweep",
+    f"""WITH {_TWO}, s AS (SELECT *, {_SPLIT_SQL} AS split FROM x), tr AS (SELECT alpha, y, c, p FROM s, (SELECT unnest([10.0, 1000.0, 100000.0])::DOUBLE AS alpha) WHERE split = 'train' AND ts < TIMESTAMP '2024-01-19' - INTERVAL 24 HOUR),
+      {two_feature_ridge("tr", "alpha", "alpha")}, pr AS (SELECT alpha, y, c, {_RIDGE_SQL} AS r FROM s, w JOIN md USING (alpha) WHERE split = 'val'),
+      l AS (SELECT alpha, 'ridge' AS model, y, r AS p FROM pr UNION ALL SELECT alpha, 'blend', y, 0.5 * c + 0.5 * r FROM pr)
+    SELECT alpha, model, count(*) AS n, avg(abs(p - y)) AS mae, sqrt(avg((p - y) ** 2)) AS rmse, 1 - sum((p - y) ** 2) / (count(*) * var_pop(y)) AS r2 FROM l GROUP BY ALL""",
+    "alpha mae rmse r2",
+)
+def penalty_sweep(t: Tables):
+    """Validation metrics of a two-feature ridge and its blend per penalty."""
+    f = two_feature_frame(t).withColumn("split", sp.assign_split("ts", WINDOWS))
+    return md.alpha_sweep(sp.training_rows(f, "ts", VAL_START), f.where("split = 'val'"), ["y_curr", "pm25"], "y_true", "y_curr", [10.0, 1000.0, 100000.0])
+
+
+AUDIT_SCENARIOS = {"baseline": {}, "no_no2": {"*": ["no2_curr"]}, "no_pm10_one": {0: ["pm10_curr"]}, "no_pm25": {"*": ["pm25_curr", "pm25_lag_1h", "pm25_roll_mean_6h", "pm25_roll_mean_24h"]}}
+HORIZONS = {1: "target_aqi_1h", 6: "target_aqi_6h", 24: "target_aqi_24h"}
+
+
+@query("availability_audit")
+def availability_audit(t: Tables):
+    """Scenarios of missing inputs x three horizons x row sets, with paired differences from the unmasked prediction."""
+    f = with_label(ft.entity_features(b.index(t), b.BY)).where(F.col(CURRENT).isNotNull())
+    f = cut_lineage(f.select("entity", "ts", *HORIZONS.values(), *BASE, *ROLLS).withColumn("split", sp.assign_split("ts", WINDOWS)))
+    train, val, _ = _parts(f)
+    return md.availability_audit(train, val, AUDIT_SCENARIOS, HORIZONS, BASE + ROLLS, "entity", "ts", CURRENT, WINDOWS["val"][1], alpha=100.0)
+
+
+@query("exogenous_ablation")
+def exogenous_ablation(t: Tables):
+    """Panels x families x driver groups: the oracle group is scored but never chosen, drivers without columns are not run."""
+    from ..operators import exogenous as ex
+
+    driver = b.readings(t).select("entity", HOUR, F.col("no2").alias("wx"))
+    f = cut_lineage(ex.attach_hourly(model_frame(t), driver, b.BY, ["wx"]))
+    train, val, test = _parts(f)
+    base, causal, oracle = BASE + ROLLS, ["wx_mean24"], ["wx_mean24", "wx_plus24"]
+    groups = {"baseline": base, "+weather_causal": base + causal, "+weather_oracle": base + oracle, "+fires": None, "+weather_causal+fires": None}
+    panels = {"full": (F.lit(True), groups), "late_window": (F.col("ts") >= F.lit("2024-01-08").cast("timestamp_ntz"), {**groups, "baseline": base + ["o3_curr"]})}
+    return md.exogenous_ablation(train, {"val": val, "test": test}, panels, TARGET, CURRENT, oracle=["+weather_oracle"], alpha=100.0)
+
+
 @query("scenario_audit")
 def scenario_audit(t: Tables):
     """One model on masked scenarios over the same rows, paired with the baseline prediction."""

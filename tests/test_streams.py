@@ -65,6 +65,7 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     class Cluster:
         class sparkContext:
             master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
 
         conf = type("C", (), {"get": staticmethod(lambda _k, d=None: d)})
 
