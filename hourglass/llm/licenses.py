@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hourglass.llm.common import set_aside
+from hourglass.llm.common import set_aside, settle
 
 #: Public licence notices, as (licence, text).
 TEMPLATES = [
@@ -91,7 +91,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     text reaches ``whole`` on a notice, is a licence file and speaks for its directory (best score, then first licence). Files
     without a licence of their own take that of the nearest directory above them that has one; directories are resolved once
     each, so a directory with most files is still one row. NULL text is empty, a NULL path has no directories; repeated rows
-    repeat; columns named like results are replaced; no rows give no rows.
+    repeat; columns named like results are replaced; no rows give no rows. Term counts, scores, own licences and speaking directories
+    are settled, each being read more than once: no plan holds more than one of these steps.
     """
     spark = files.sparkSession
     given, back = set_aside(files.drop("licence", "licence_score", "origin", "licence_from"), (path, text))
@@ -104,9 +105,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     units = lines.unionByName(marked.select("__path", "__version", F.lit(-1).alias("unit"), F.col(text).alias("line")))
     words = units.select("__path", "__version", "unit", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")).alias("term")).filter("term <> ''")
     unit = ["__path", "__version", "unit"]
-    counted = words.groupBy(*unit, "term").agg(F.count("*").alias("tf"))
+    counted = settle(words.groupBy(*unit, "term").agg(F.count("*").alias("tf")))
     notice = (known, vectors, other)
-    scored = _scored(counted, *notice, unit)
+    scored = settle(_scored(counted, *notice, unit).filter(F.col("score") >= min(header, whole)))
     best = lambda: F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")
     file = ["__path", "__version"]
     idf, other, weights = template_weights(full_texts())
@@ -115,17 +116,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", header: float
     entire = _scored(counted.filter("unit = -1"), known, vectors, other, unit).filter(F.col("score") >= FULL).withColumn("rank", F.lit(0))
     notices = scored.filter(F.col("score") >= header).withColumn("rank", F.lit(1))
     first = F.min(F.struct("rank", (-F.col("score")).alias("minus"), "licence")).alias("b")
-    own = notices.unionByName(entire).groupBy(*file).agg(first).select(*file, F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), (F.col("b.rank") == 0).alias("is_full"))
+    own = settle(notices.unionByName(entire).groupBy(*file).agg(first).select(*file, F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), (F.col("b.rank") == 0).alias("is_full")))
     blocks = _blocks(rows.join(own, file, "left_anti"), text)
     words = blocks.select(*file, "unit", F.explode(F.split(F.lower("line"), "[^a-z0-9]+")).alias("term")).filter("term <> ''")
-    wrapped = _scored(words.groupBy(*unit, "term").agg(F.count("*").alias("tf")), *notice, unit).filter(F.col("score") >= header)
+    wrapped = _scored(settle(words.groupBy(*unit, "term").agg(F.count("*").alias("tf"))), *notice, unit).filter(F.col("score") >= header)
     wrapped = wrapped.groupBy(*file).agg(best()).select(*file, F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), F.lit(False).alias("is_full"))
-    own = own.unionByName(wrapped)
+    own = settle(own.unionByName(wrapped))
     loose = scored.filter((F.col("unit") == -1) & (F.col("score") >= whole)).groupBy(*file).agg(best())
     files = loose.join(own, file, "full").filter((F.col("is_full") | F.col("b").isNotNull()) & (F.col("__path") != ""))
     spoken = F.when(F.col("is_full"), F.struct("own_score", "own")).otherwise(F.struct((-F.col("b.minus")).alias("own_score"), F.col("b.licence").alias("own")))
     speaking = files.withColumn("s", spoken).select("__path", F.col("s.own").alias("licence"), F.col("s.own_score").alias("score")).groupBy(parent(F.col("__path")).alias("dir")).agg(best())
-    speaking = speaking.select("dir", F.col("b.licence").alias("dir_licence"), (-F.col("b.minus")).alias("dir_score"))
+    speaking = settle(speaking.select("dir", F.col("b.licence").alias("dir_licence"), (-F.col("b.minus")).alias("dir_score")))
     directories = rows.select(parent(F.col("__path")).alias("home")).distinct()
     parts = F.split("home", "/")
     above = directories.select("home", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir"))), F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("dir"))))).alias("a")).select("home", "a.*")
