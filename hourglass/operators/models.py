@@ -5,16 +5,17 @@ Fits are iterative, so their training rows are checkpointed once; predictions st
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .cross_products import LinearModel, cross_products, medians
+from .isotonic import isotonic_fit
 from .lineage import cut_lineage
 from .scoring import paired_difference, regression_metrics
 
@@ -256,22 +257,12 @@ def event_probability(model: PipelineModel, df: DataFrame, features: Sequence[st
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def fit_isotonic(pairs: DataFrame, feature: str, label: str) -> Callable[[DataFrame], DataFrame]:
-    """Monotone calibration fitted on distinct feature values with their counts as weights.
-
-    Grouping first bounds what the final pooling pass has to merge to the distinct values of the feature.
-    """
-    cells = pairs.where(F.col(feature).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(feature).cast("double").alias("__x")).agg(F.avg(label).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w"))
-    model = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="calibrated", isotonic=True).fit(cells)
-    return lambda df: model.transform(df.withColumn("__x", F.col(feature).cast("double"))).drop("__x")
-
-
 def calibration_report(fit_rows: DataFrame, parts: Mapping[str, DataFrame], feature: str, label: str) -> DataFrame:
     """Error and bias before and after calibration per part."""
-    apply = fit_isotonic(fit_rows, feature, label)
+    fit = isotonic_fit(fit_rows, feature, label)
     out = None
     for name, part in parts.items():
-        rows = apply(part.where(F.col(feature).isNotNull() & F.col(label).isNotNull())).select(F.lit(name).alias("rows"), (F.col(feature) - F.col(label)).alias("b"), (F.col("calibrated") - F.col(label)).alias("a"))
+        rows = fit.apply(part.where(F.col(feature).isNotNull() & F.col(label).isNotNull()), feature, "calibrated").select(F.lit(name).alias("rows"), (F.col(feature) - F.col(label)).alias("b"), (F.col("calibrated") - F.col(label)).alias("a"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("rows").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("b")).alias("mae_before"), F.avg("b").alias("bias_before"), F.avg(F.abs("a")).alias("mae_after"), F.avg("a").alias("bias_after")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features as ft, models as md, regression as rg, scoring as sc, serving as sv, splits as sp
+from ..operators import features as ft, isotonic as iso, models as md, regression as rg, scoring as sc, serving as sv, splits as sp
 from ..operators.grid import HOUR, with_label
 from ..operators.lineage import cut_lineage
 from . import bindings as b
@@ -184,6 +184,21 @@ def severe_event_classifier(t: Tables):
     return areas.withColumn("brier", p.agg(cl.brier("high", "probability")).scalar())
 
 
+@query(
+    "isotonic_steps",
+    f"""WITH {b.FORECAST_CTE}, c AS (SELECT floor(y_pred * 10 + 0.500001)::BIGINT AS x, count(*) AS n, sum(y_true) AS s FROM fc GROUP BY 1),
+    o AS (SELECT x, n, s, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM c),
+    m AS (SELECT j.i AS j, k.i AS i, min((k.cs - j.cs + j.s) / (k.cn - j.cn + j.n)) OVER (PARTITION BY j.i ORDER BY k.i DESC) AS least FROM o j JOIN o k ON k.i >= j.i)
+    SELECT x, any_value(n) AS n, max(least) AS fitted FROM m JOIN o USING (i) GROUP BY x""",
+    "fitted",
+)
+def isotonic_steps(t: Tables):
+    """Monotone fit of the truth on the forecast in tenths: its value for every value of the forecast."""
+    f = cut_lineage(b.forecast_frame(t).select(F.floor(F.col("y_pred") * 10 + 0.500001).cast("long").alias("x"), "y_true"))
+    counted = f.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return iso.isotonic_fit(f, "x", "y_true").apply(counted, "x", "fitted")
+
+
 @query("isotonic_calibration")
 def isotonic_calibration(t: Tables):
     """Monotone calibration fitted on train, errors before and after on both parts."""
