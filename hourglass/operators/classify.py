@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.piecewise import ordinal_class
 from .lineage import cut_lineage
-from .ranks import pick_quantiles, value_counts
+from .ranks import quantiles, value_counts
 from .tables import as_of
 
 CLASSES = 6
@@ -237,8 +237,8 @@ def reliability_table(df: DataFrame, by: Sequence[str], outcome: str, probabilit
 
 def persistence_band(train: DataFrame, rows: DataFrame, actual: str, current: str, *, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Current value plus the train residual quantiles; the two quantiles enter as scalars."""
-    counts = value_counts(train.select((F.col(actual) - F.col(current)).alias("residual")), [], "residual")
-    picked = cut_lineage(pick_quantiles(counts, [], "residual", {"low": low, "high": high}))
+    residuals = train.select((F.col(actual) - F.col(current)).alias("residual"))
+    picked = cut_lineage(quantiles(residuals, [], "residual", {"low": low, "high": high}))
     pick = lambda name: picked.select(name).scalar()
     return rows.select("*", (F.col(current) + pick("low")).alias("band_low"), (F.col(current) + pick("high")).alias("band_high"))
 
@@ -264,7 +264,7 @@ def neighbourhood_rate(train: DataFrame, rows: DataFrame, value: str, outcome: s
 
 def gate_level(df: DataFrame, value: str, *, percentile: float = 0.99) -> DataFrame:
     """Percentile of a share rounded up to two decimals."""
-    picked = pick_quantiles(value_counts(df, [], value), [], value, {"raw": percentile})
+    picked = quantiles(df, [], value, {"raw": percentile})
     return picked.select("raw", (F.ceil(F.col("raw") * 100) / 100).alias("gate"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .grid import HOUR
 from .lineage import cut_lineage
 from .ordered import BLOCK_ROWS, row_index, with_frames
-from .ranks import pick_quantiles, value_counts
+from .ranks import quantiles, value_counts
 
 PAIR = ["left", "right"]
 
@@ -122,6 +122,7 @@ def distribution_summary(df: DataFrame, columns: Sequence[str], *, against: dict
     refs = dict(against or {})
     cells = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])
     long = df.select(*[F.col(c).cast("double").alias(f"__{o}") for o, c in refs.items()], F.inline(cells)).where("v IS NOT NULL")
+    long = cut_lineage(long)  # read by the moments and twice by the percentiles
     n = F.count(F.lit(1))
     skew = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("v") + 6)
@@ -136,7 +137,7 @@ def distribution_summary(df: DataFrame, columns: Sequence[str], *, against: dict
         *[_corr("v", f"__{o}").alias(o) for o in refs],
     )
     probs = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return base.join(pick_quantiles(value_counts(long, ["measure"], "v"), ["measure"], "v", probs), "measure")
+    return base.join(quantiles(long, ["measure"], "v", probs), "measure")
 
 
 def usability(df: DataFrame, columns: Sequence[str], *, pm25: str, index: str, high: int, never_high: Sequence[str] = ("rainfall",), moderate: Sequence[str] = ("barometric_pressure",)) -> DataFrame:
