@@ -110,6 +110,26 @@ def price_regression(t: Tables):
     return rg.clustered_ols(l, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "month", effects="l_returnflag")
 
 
+_PRICE_SQL = """WITH l AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_returnflag AS e, date_trunc('month', l_shipdate) AS g FROM lineitem),
+    z AS (SELECT g, e, y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, c - avg(c) OVER w AS c FROM l WINDOW w AS (PARTITION BY e)),
+    m AS (SELECT count(*) AS n, count(DISTINCT e) AS e, count(DISTINCT g) AS g, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc,
+      sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS cy, sum(y * y) AS yy FROM z),
+    d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+    i AS (SELECT *, (bb * cc - bc * bc) / det AS iaa, (ac * bc - ab * cc) / det AS iab, (ab * bc - ac * bb) / det AS iac, (aa * cc - ac * ac) / det AS ibb, (ab * ac - aa * bc) / det AS ibc, (aa * bb - ab * ab) / det AS icc FROM d),
+    t AS (SELECT *, iaa * ay + iab * yb + iac * cy AS ba, iab * ay + ibb * yb + ibc * cy AS be, iac * ay + ibc * yb + icc * cy AS bg FROM i),
+    s AS (SELECT z.g, sum(z.a * (z.y - ba * z.a - be * z.b - bg * z.c)) AS sa, sum(z.b * (z.y - ba * z.a - be * z.b - bg * z.c)) AS sb, sum(z.c * (z.y - ba * z.a - be * z.b - bg * z.c)) AS sc FROM z, t GROUP BY 1),
+    k AS (SELECT *, sqrt(g / (g - 1.0) * (n - 1.0) / (n - 3.0 - e)) AS f, 1 - (yy - ba * ay - be * yb - bg * cy) / (SELECT count(*) * var_pop(y) FROM l) AS r2 FROM t)
+    SELECT 'l_quantity' AS coef, ba AS estimate, f * sqrt((SELECT sum((iaa * sa + iab * sb + iac * sc) ** 2) FROM s)) AS std_err, r2 AS r_squared, n AS n_obs, g AS n_clusters FROM k
+    UNION ALL SELECT 'l_discount', be, f * sqrt((SELECT sum((iab * sa + ibb * sb + ibc * sc) ** 2) FROM s)), r2, n, g FROM k
+    UNION ALL SELECT 'l_tax', bg, f * sqrt((SELECT sum((iac * sa + ibc * sb + icc * sc) ** 2) FROM s)), r2, n, g FROM k"""
+
+
+@query("price_effects", _PRICE_SQL, "estimate std_err r_squared", 4)
+def price_effects(t: Tables):
+    """The same regression without what follows from estimate and error."""
+    return price_regression(t).select("coef", "estimate", "std_err", "r_squared", "n_obs", "n_clusters")
+
+
 # ------------------------------------------------------------------------------------------------------------ models
 BASE = ["aqi_curr", "aqi_lag_1h", "aqi_lag_3h", "aqi_lag_6h", "aqi_lag_12h", "aqi_lag_24h", "pm25_curr", "pm25_lag_1h", "pm10_curr", "no2_curr"]
 ROLLS = ["aqi_roll_mean_6h", "aqi_roll_mean_24h", "aqi_roll_std_24h", "pm25_roll_mean_6h", "pm25_roll_mean_24h"]
