@@ -72,9 +72,12 @@ def label_ranking_areas(t: Tables):
 
 
 _RATIOS = cl.COST_RATIOS
-_SWEEP = f"""{_FH}, th AS (SELECT unnest(range(601)) * 0.5 + 200 AS threshold), sp AS (SELECT unnest(['val', 'test']) AS split),
-  cf AS (SELECT sp.split, th.threshold::DOUBLE AS threshold, count(*) FILTER (WHERE p >= threshold AND y >= 401) AS tp, count(*) FILTER (WHERE p >= threshold AND y < 401) AS fp, count(*) FILTER (WHERE p < threshold AND y >= 401) AS fn, count(*) FILTER (WHERE p < threshold AND y < 401) AS tn,
-    count(*) FILTER (WHERE p >= threshold AND y BETWEEN 301 AND 400) AS fp_actual_vpoor, count(*) FILTER (WHERE p >= threshold AND y BETWEEN 201 AND 300) AS fp_actual_poor, count(*) FILTER (WHERE p >= threshold AND y <= 200) AS fp_actual_mod_better FROM sp, th, fh WHERE fh.split = sp.split GROUP BY ALL),
+_SWEEP = f"""{_FH}, sl AS (SELECT split, greatest(-1, least(600, floor((p - 200) / 0.5)))::INT AS slot, count(*) FILTER (WHERE y >= 401) AS pos, count(*) FILTER (WHERE y < 401) AS neg,
+    count(*) FILTER (WHERE y BETWEEN 301 AND 400) AS vpoor, count(*) FILTER (WHERE y BETWEEN 201 AND 300) AS poor, count(*) FILTER (WHERE y <= 200) AS better FROM fh GROUP BY ALL),
+  gr AS (SELECT split, unnest(range(-1, 601))::INT AS slot FROM (SELECT DISTINCT split FROM fh)),
+  cu AS (SELECT split, slot, sum(coalesce(pos, 0)) OVER d AS tp, sum(coalesce(neg, 0)) OVER d AS fp, sum(coalesce(pos, 0)) OVER w AS pos_all, sum(coalesce(neg, 0)) OVER w AS neg_all,
+    sum(coalesce(vpoor, 0)) OVER d AS vp, sum(coalesce(poor, 0)) OVER d AS pr, sum(coalesce(better, 0)) OVER d AS bt FROM gr LEFT JOIN sl USING (split, slot) WINDOW d AS (PARTITION BY split ORDER BY slot DESC), w AS (PARTITION BY split)),
+  cf AS (SELECT split, (200 + slot * 0.5)::DOUBLE AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (pos_all - tp)::BIGINT AS fn, (neg_all - fp)::BIGINT AS tn, vp::BIGINT AS fp_actual_vpoor, pr::BIGINT AS fp_actual_poor, bt::BIGINT AS fp_actual_mod_better FROM cu WHERE slot >= 0),
   rt AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr, CASE WHEN tp + fn > 0 THEN fn / (tp + fn) ELSE 0 END AS fnr FROM cf),
   sweep AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, {', '.join(f'fpr + fnr * {r} AS cost_rate_{r}x, (fp + fn * {r}) / (tp + fp + fn + tn) AS cost_sample_{r}x' for r in _RATIOS)} FROM rt)"""
 _RATES = "precision recall f1 fpr fnr"
