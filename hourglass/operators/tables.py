@@ -135,9 +135,9 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 def stratified_hours(df: DataFrame, stratum: str, hour: str, k: int, *, seed: int = 0) -> DataFrame:
-    """A repeatable sample of hours: ``k`` per stratum by hash order plus the first and last hour of each."""
+    """A repeatable sample of hours: ``k`` per stratum in the order of a digest that any engine has, plus the first and last hour of each."""
     hours = df.select(stratum, hour).distinct()
-    picked = top_k(hours, [stratum], [F.xxhash64(F.col(hour), F.lit(seed)), F.col(hour)], k)
+    picked = top_k(hours, [stratum], [F.md5(F.concat(F.lit(f"{seed}:"), F.col(hour).cast("string"))), F.col(hour)], k)
     edges = hours.groupBy(stratum).agg(F.array(F.min(hour), F.max(hour)).alias("__e")).select(stratum, F.explode("__e").alias(hour))
     return picked.union(edges).distinct()
 

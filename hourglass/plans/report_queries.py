@@ -168,6 +168,18 @@ def autocorrelation(t: Tables):
     return co.autocorrelation(b.index(t), b.BY, "index_value", _LAGS)
 
 
+@query(
+    "pm25_autocorrelation",
+    f"""WITH {b.READINGS_CTE}, o AS (SELECT entity, ts, pm25 AS v FROM readings WHERE pm25 IS NOT NULL),
+      l AS ({' UNION ALL '.join(f"SELECT entity, {k} AS lag, v, lag(v, {k}) OVER (PARTITION BY entity ORDER BY ts) AS past FROM o" for k in _LAGS)})
+    SELECT entity, lag, count(*) AS pairs, corr(v, past) AS autocorrelation FROM l WHERE past IS NOT NULL GROUP BY ALL""",
+    "autocorrelation",
+)
+def pm25_autocorrelation(t: Tables):
+    """Autocorrelation of the measured concentration on observed rows."""
+    return co.autocorrelation(b.readings(t), b.BY, "pm25", _LAGS)
+
+
 _HOURS_OBS = f"""{b.INDEX_CTE}, o AS (SELECT entity, ts, hourly_index AS v, row_number() OVER (PARTITION BY entity ORDER BY ts) AS rn FROM hourly WHERE hourly_index IS NOT NULL)"""
 
 

@@ -262,9 +262,14 @@ def custom_order(t: Tables):
     return t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).withColumn("position", p).orderBy("position", "o_orderpriority")
 
 
-@query("stratified_hour_sample")
+@query(
+    "stratified_hour_sample",
+    f"""WITH {b.READINGS_CTE}, h AS (SELECT DISTINCT entity, ts, (epoch(ts) // 3600)::BIGINT AS hour_no FROM readings),
+      r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5('7:' || hour_no), hour_no) AS k, min(ts) OVER (PARTITION BY entity) AS lo, max(ts) OVER (PARTITION BY entity) AS hi FROM h)
+    SELECT entity, ts FROM r WHERE k <= 20 OR ts = lo OR ts = hi""",
+)
 def stratified_hour_sample(t: Tables):
-    """Repeatable sample of issue hours per station: hash order plus both edges (hash function is engine-specific)."""
+    """Repeatable sample of issue hours per station: digest order plus both edges."""
     return with_label(tb.stratified_hours(b.readings(t), "entity", HOUR, 20, seed=7)).select("entity", "ts")
 
 
