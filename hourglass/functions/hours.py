@@ -24,11 +24,6 @@ def hour_label(number: Column | str) -> Column:
     return base + F.make_dt_interval(F.lit(0), n.cast("int"), F.lit(0), F.lit(0))
 
 
-def shift_hours(ts: Column | str, hours: int | Column) -> Column:
-    h = F.lit(hours) if isinstance(hours, int) else hours
-    return to_column(ts) + F.make_dt_interval(F.lit(0), h.cast("int"), F.lit(0), F.lit(0))
-
-
 def hours_between(later: Column | str, earlier: Column | str) -> Column:
     """Elapsed hours as a double, to the microsecond."""
     a, b = to_column(later), to_column(earlier)

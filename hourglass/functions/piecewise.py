@@ -130,10 +130,6 @@ def ordinal_class(index: Column | str) -> Column:
     return F.when(x.isNotNull(), sum(((x >= cut).cast("int") for cut in CLASS_LOWER), F.lit(0)))
 
 
-def class_label(ordinal: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in CATEGORY_LABELS]), to_column(ordinal) + 1)
-
-
 def stage_number(index: Column | str) -> Column:
     """Stage 0..4 from a continuous index: >=201, >=301, >=401, >450."""
     x = to_column(index)

@@ -130,12 +130,6 @@ def others_mean(source: str, *, null_when_alone: bool = False) -> Column:
     return F.when(others > 0, mean) if null_when_alone else F.when(others > 0, mean).otherwise(F.lit(0.0))
 
 
-def network_range(df: DataFrame, on: Sequence[str], value: str, low: str, high: str) -> DataFrame:
-    """Minimum and maximum over all entities at the same time, joined back."""
-    totals = df.groupBy(*on).agg(F.max(value).alias(high), F.min(value).alias(low))
-    return df.join(totals, list(on))
-
-
 def neighbour_values(
     df: DataFrame, entity: str, ts: str, neighbours: Mapping[object, object] | DataFrame, values: Mapping[str, str],
     *, lookup: DataFrame | None = None

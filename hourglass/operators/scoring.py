@@ -289,10 +289,10 @@ def alert_table(history: DataFrame, runs: DataFrame, *, days: int = 7, failures:
     rule = negative_streak(history, by, "window_end", "skill_vs_window_update", "streak")
     rule = rule.where((F.col("streak") >= days) & (F.col("target") == "aqi") & F.col("horizon").isin(*rule_horizons))
     h = F.concat(F.col("horizon").cast("string"), F.lit("h"))
-    a = plain.select(F.concat(F.lit("skill-"), "target", F.lit("-"), h).alias("key"), F.concat(F.upper("target"), F.lit(" "), h, F.lit(f" skill below zero for {days} days")).alias("title"))
-    b = rule.select(F.concat(F.lit("skill-vs-rule-aqi-"), h).alias("key"), F.concat(F.lit("AQI "), h, F.lit(f" worse than the window-update rule for {days} days")).alias("title"))
+    a = plain.select(F.concat(F.lit("skill-"), "target", F.lit("-"), h).alias("key"), F.concat(F.lit(f"No gain over persistence in {days} daily windows: "), "target", F.lit(" at "), h).alias("title"))
+    b = rule.select(F.concat(F.lit("skill-vs-rule-aqi-"), h).alias("key"), F.concat(F.lit(f"Window update ahead in {days} daily windows: aqi at "), h).alias("title"))
     c = failed_streaks(runs, "job", "status", "started_at", last=failures)
-    c = c.select(F.concat(F.lit("job-"), "job").alias("key"), F.concat("job", F.lit(f" failed its last {failures} runs")).alias("title"))
+    c = c.select(F.concat(F.lit("job-"), "job").alias("key"), F.concat(F.lit(f"{failures} failed runs in a row: "), "job").alias("title"))
     return a.unionByName(b).unionByName(c)
 
 

@@ -292,6 +292,15 @@ def target_availability(t: Tables):
     return ft.target_availability(own, "entity", "ts", {f"target_{h}h": f"target_aqi_{h}h" for h in (1, 6, 24)})
 
 
+@query("kept_columns", f"WITH {b.READINGS_CTE} SELECT entity, ts, pm25, no2 FROM readings", "pm25 no2")
+def kept_columns(t: Tables):
+    """Readings without the columns that never vary: a constant one and an empty one go."""
+    from ..operators.cleaning import prune_columns
+
+    r = b.readings_ts(t).withColumns({"flat": F.lit(1.0), "empty": F.lit(None).cast("double")})
+    return r.select("entity", "ts", *prune_columns(r, ["pm25", "no2", "flat", "empty"]))
+
+
 @query(
     "low_variety_columns",
     f"""WITH {b.READINGS_CTE}, l AS (SELECT 'pm25' AS feature, pm25 AS v FROM readings UNION ALL SELECT 'always', 1.0 FROM readings UNION ALL SELECT 'missing', NULL FROM readings)

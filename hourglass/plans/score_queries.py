@@ -240,9 +240,9 @@ def failed_jobs(t: Tables):
     "alert_table",
     f"""WITH {_ROLLING}, {_RUNS}, hist AS (SELECT target, horizon, window_end, skill_mae AS s FROM rolling WHERE entity IS NULL), {_STREAK},
       hist2 AS (SELECT target, horizon, window_end, skill_vs_window_update AS s FROM rolling WHERE entity IS NULL), {_STREAK.replace('streaks AS', 'streaks2 AS').replace('st AS', 'st2 AS').replace('FROM hist ', 'FROM hist2 ').replace('JOIN st ', 'JOIN st2 ')}
-    SELECT 'skill-' || target || '-' || horizon || 'h' AS key, upper(target) || ' ' || horizon || 'h skill below zero for 7 days' AS title FROM streaks WHERE streak >= 7
-    UNION ALL SELECT 'skill-vs-rule-aqi-' || horizon || 'h', 'AQI ' || horizon || 'h worse than the window-update rule for 7 days' FROM streaks2 WHERE streak >= 7 AND target = 'aqi' AND horizon IN (1, 6)
-    UNION ALL SELECT 'job-' || job, job || ' failed its last 3 runs' FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC) <= 3) GROUP BY job HAVING bool_and(status = 'failed') AND count(*) = 3""",
+    SELECT 'skill-' || target || '-' || horizon || 'h' AS key, 'No gain over persistence in 7 daily windows: ' || target || ' at ' || horizon || 'h' AS title FROM streaks WHERE streak >= 7
+    UNION ALL SELECT 'skill-vs-rule-aqi-' || horizon || 'h', 'Window update ahead in 7 daily windows: aqi at ' || horizon || 'h' FROM streaks2 WHERE streak >= 7 AND target = 'aqi' AND horizon IN (1, 6)
+    UNION ALL SELECT 'job-' || job, '3 failed runs in a row: ' || job FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC) <= 3) GROUP BY job HAVING bool_and(status = 'failed') AND count(*) = 3""",
 )
 def alert_table(t: Tables):
     """Alerts from rolling skill and the run log."""

@@ -38,7 +38,7 @@ def test_batch_guard_needs_rows_and_share(spark):
 
     run(100, 5)
     run(10, 9)
-    with pytest.raises(c.ImplausibleBatch):
+    with pytest.raises(c.BatchRejected):
         run(40, 30)
 
 
