@@ -55,8 +55,10 @@ def grouped_profile(
     shares = shares or {}
     if bounded:
         return df.groupBy(*by).agg(*aggs, *[F.percentile(s, F.lit(p)).alias(o) for o, (s, p) in shares.items()])
+    from .lineage import cut_lineage
     from .ranks import wide_quantiles
 
+    df = cut_lineage(df)  # read by the moments and twice by the percentiles
     out = df.groupBy(*by).agg(*aggs)
     return out.join(wide_quantiles(df, by, shares), list(by), "left")
 
