@@ -180,6 +180,80 @@ def library_encoder(path: str, pattern: str, fold: bool) -> Callable[[list[str]]
     return encode
 
 
+class _Chunks(dict):
+    """Coded chunks that are worked out when first asked for."""
+
+    def __init__(self, code: Callable[[str], bytes]):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.code(chunk)
+
+
+class RankTokens:
+    """Ids of texts as little-endian unsigned 32-bit bytes, by the merge ranks of the byte-level file at ``path``.
+
+    Merges become ranks in their order for the tiktoken library, and ranks become the file's ids afterwards; that equals the file's
+    own library where every merge makes a token of its own. Strings beyond U+024F (Unicode tables may differ there) and strings
+    that may hold long runs (ranks are merged in quadratic time) are left to ``library_encoder``, as is everything if two merges
+    make one token. Texts are cut at single spaces and the ids of chunks are remembered in two generations of ``most`` / 2 bytes;
+    texts in which a space touches other white space or the end are encoded whole.
+    """
+
+    LONG = 400
+    RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG, LONG))
+
+    def __init__(self, path: str, pattern: str, most: int = 320_000_000):
+        import json
+
+        import tiktoken
+
+        self.most, self.held, self.older = most, 0, {}
+        self.known = _Chunks(self._learn)
+        self.library = library_encoder(path, pattern, False)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = byte_letters()
+        byte = {c: b for b, c in enumerate(letters)}
+        ranks = {bytes([b]): b for b in range(256)}
+        ids = [model["vocab"].get(c) for c in letters]
+        for merge in model["merges"]:
+            token = "".join(merge.split(" ") if isinstance(merge, str) else merge)
+            ranks[bytes(byte[c] for c in token)] = len(ids)
+            ids.append(model["vocab"][token])
+        self.ranked = None
+        if len(ranks) == len(ids) and None not in ids:
+            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.coded = [i.to_bytes(4, "little") for i in ids]
+
+    def encode(self, text: str) -> bytes:
+        if self.ranked and (text.isascii() or max(text) <= "\u024f") and (len(text) < self.LONG or not self.RUN.search(text)):
+            return b"".join(map(self.coded.__getitem__, self.ranked(text)))
+        return array("I", self.library([text])[0]).tobytes()
+
+    def _learn(self, chunk: str) -> bytes:
+        coded = self.older.get(chunk)
+        if coded is None:
+            coded = self.encode(" " + chunk)
+        if len(chunk) <= 100:
+            self.known[chunk] = coded
+            self.held += len(coded) + 4 * len(chunk) + 120
+        return coded
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if self.held > self.most / 2:
+                self.older, self.known, self.held = self.known, _Chunks(self._learn), 0
+            if ChunkTokens.TOUCHING.search(t):
+                out.append(self.encode(t))
+            else:
+                head, *rest = t.split(" ")
+                out.append(b"".join([self.encode(head), *map(self.known.__getitem__, rest)]))
+        return out
+
+
 #: The pattern of the word-end vocabulary's own file: what it matches are the words, the rest is dropped.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 

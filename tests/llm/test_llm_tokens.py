@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from hourglass.llm import packing
 from hourglass.llm.bpe import encode_decode, read_ranks
-from hourglass.llm.common import WORD_PATTERN, ChunkTokens, library_encoder
+from hourglass.llm.common import WORD_PATTERN, ChunkTokens, RankTokens, library_encoder
 from hourglass.llm.token_files import read_metadata, read_tokens, token_digest, write_tokens
 
 PATTERN = public_tokenizers.PATTERN
@@ -57,6 +57,17 @@ def test_chunks_as_the_whole_text(path, pattern, lead):
         assert tokens([t])[0] == packed(whole.encode(t, add_special_tokens=False).ids), t
 
 
+def test_ranks_as_the_whole_text():
+    whole = Tokenizer.from_file(BYTES)
+    whole.encode_special_tokens = True
+    tokens, draw = RankTokens(BYTES, PATTERN, most=2000), random.Random(5)  # forgets all the time
+    assert tokens.ranked
+    pieces = [t.replace("\u0120", " ") for t in whole.get_vocab() if t.replace("\u0120", "").isascii()]
+    texts = HARD + ["<s> x </s><mask>", "a" * 20_000, " " * 3000 + "x"] + ["".join(draw.choices(pieces, k=6)) for _ in range(3000)]
+    texts += ["".join(draw.choice("ab é,.\n 's1Z") for _ in range(200)) for _ in range(50)]
+    assert [*tokens(texts)] == [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_files_hold_ids_in_id_order(spark, tmp_path):
     whole = Tokenizer.from_file(WORDS)
     docs = hard_rows(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
