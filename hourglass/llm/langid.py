@@ -39,16 +39,19 @@ def held_out(ident: Column) -> Column:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_PER_LANGUAGE texts of each language, chosen by hash of the id, as windows from all over the text."""
+    """At most SAMPLE_PER_LANGUAGE texts of each language, chosen by hash of id and text, as windows from all over the text.
+
+    Repeated rows have equal hashes and count once before anything reaches the driver, so one id on many rows stays bounded.
+    """
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    draw = (F.xxhash64("doc_id") / float(2**64) + 0.5).alias("draw")
+    draw = (F.xxhash64("doc_id", "text") / float(2**64) + 0.5).alias("draw")
     shares = reduce(lambda c, kv: c.when(F.col("lang") == kv[0], F.lit(min(1.0, 1.5 * SAMPLE_PER_LANGUAGE / kv[1]))), counts.items(), F.when(F.lit(False), 0.0))
     n = F.length("text")
     parts = F.array(*[F.substr("text", F.floor(n * k / WINDOWS_PER_DOCUMENT).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS_PER_DOCUMENT)])
-    rows = usable.withColumn("draw", draw).filter(F.col("draw") < shares).select("lang", "draw", F.array_distinct(parts).alias("parts")).collect()
+    rows = usable.withColumn("draw", draw).filter(F.col("draw") < shares).select("lang", "draw", F.array_distinct(parts).alias("parts")).dropDuplicates(["lang", "draw"]).collect()
     taken: dict[str, int] = {}
     out = []
     for r in sorted(rows, key=lambda r: (r["draw"], r["lang"], r["parts"])):
@@ -58,6 +61,20 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
+def scrambled(sample: list[tuple[str, str]], name: str, seed: int = 7) -> list[tuple[str, str]]:
+    """Texts in no language, under ``name``: a window in three with its characters in random order, or as many random printable ones."""
+    import random
+
+    draw = random.Random(seed)
+    out = []
+    for at, (_, text) in enumerate(sample):
+        if at % 3 == 0:
+            out.append((name, "".join(draw.sample(text, len(text)))))
+        elif at % 3 == 1:
+            out.append((name, "".join(map(chr, draw.choices(range(0x21, 0x7F), k=len(text))))))
+    return out
+
+
 def as_windows(data: list[bytes]):
     """Byte strings of at most WINDOW bytes as rows, padded with zeros."""
     import numpy as np

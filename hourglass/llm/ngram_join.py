@@ -181,7 +181,8 @@ class _Forest:
 
 
 def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts: DataFrame | None = None) -> DataFrame:
-    """(a, b, links) for members (root, node, version, copies, sig) of candidate groups ``root``; ``texts`` has (node, version, text).
+    """(a, b, links) for members (root, node, copies, sig) of candidate groups ``root``; with ``texts`` (doc_id, version, text)
+    members name the row that holds theirs by doc_id and version.
 
     Groups of more than BLOCK members are cut into blocks, every pair of blocks is one task group; small groups share task
     groups. ``a`` is linked to ``b`` (or to itself only); ``links`` counts, with copies, the documents of this task group that
@@ -192,7 +193,7 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
     exact = texts is not None
     sizes = members.groupBy("root").agg(F.count("*").alias("size"))
     # a shuffle join at every size: whether the members would fit a broadcast depends on the data
-    rows = members if texts is None else texts.join(members.hint("merge"), ["node", "version"]).dropDuplicates(["node", "version"])
+    rows = members if texts is None else texts.join(members.hint("merge"), ["doc_id", "version"]).dropDuplicates(["node"])
     small = F.col("blocks") == 1
     blocked = rows.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     packs = max(1, members.count() // 128)
@@ -234,31 +235,41 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long, links long")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id and n_links of every row: documents linked to it (Jaccard of 5-gram sets >= threshold), and its class.
+def linked_rows(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, version (hash of the text), class_id and n_links of every row; see ``jaccard_join``.
 
-    Words are what ASCII white space separates; a text of fewer than five words is one shingle; a text without words (NULL
-    or empty) links with nothing. Rows with equal word sequences are copies: they link with each other and share all links.
-    class_id is the smallest doc_id that links reach. Rows that share a doc_id count as one document in links of others to it;
-    a NULL doc_id gets NULL class_id and 0 links. No rows give no rows. A pair of similarity s is proposed by at least one
-    band with probability 1 - (1 - s^4)^32: at 0.8 all but 5 pairs in 100 million.
+    The nodes of the graph are word sequences under a 64-bit name, so texts that share a doc_id stay apart.
     """
-    rows = settle(sketch(docs))
-    known = rows.filter("doc_id IS NOT NULL AND n > 0")
-    first = known.groupBy("words").agg(F.min(F.struct("doc_id", "version", "sig", "bands")).alias("f"), F.count("*").alias("copies"))
-    reps = settle(first.select("words", F.col("f.doc_id").alias("node"), "f.version", "copies", "f.sig", "f.bands"))
+    rows = settle(sketch(docs).withColumn("node", F.when(F.expr("doc_id IS NOT NULL AND n > 0"), F.xxhash64("words"))))
+    first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "version", "sig", "bands")).alias("f"), F.count("*").alias("copies"))
+    reps = settle(first.select("node", "f.doc_id", "f.version", "copies", "f.sig", "f.bands"))
     keyed = reps.select("node", F.explode("bands").alias("key"))
     met = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     groups = components(keyed.join(met, "key").select("a", F.col("node").alias("b")))
-    heads = reps.select("words", "node", "version", "copies", "sig")
-    refined = components(compare_blocks(groups.join(heads.drop("words"), "node"), threshold, tolerance))
-    members = settle(refined.join(heads.drop("words"), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("version"), "text")
+    heads = reps.select("node", "version", "copies", "sig")
+    refined = components(compare_blocks(groups.join(heads, "node"), threshold, tolerance))
+    members = settle(refined.join(reps.select("node", "doc_id", "version", "copies", "sig"), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     linked = settle(compare_blocks(members, threshold, tolerance, texts))
     counts = linked.groupBy("a").agg(F.sum("links").alias("links"))
     classes = components(linked.select("a", "b"))
-    per_text = reps.select("words", "node", "copies").join(counts, F.col("node") == F.col("a"), "left").drop("a").join(classes.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
-    found = per_text.select("words", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    ids = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    joined = rows.select("doc_id", "n", F.when(ids, F.col("words")).alias("words")).join(found, "words", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ids = reps.select("node", "doc_id", "copies")
+    with_root = ids.join(classes, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
+    # a root has as many rows as its class has texts, so its smallest id is found with map-side combine and a class is split by the skew join
+    least = classes.join(ids, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
+    per_text = with_root.join(least, "root", "left").join(counts, F.col("node") == F.col("a"), "left")
+    found = per_text.select("node", F.coalesce("least", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    joined = rows.select("doc_id", "version", "node").join(found, "node", "left")
+    return joined.select("doc_id", "version", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, class_id and n_links of every row: documents linked to it (Jaccard of 5-gram sets >= threshold), and its class.
+
+    Words are what ASCII white space separates; a text of fewer than five words is one shingle; a text without words (NULL
+    or empty) links with nothing. Rows with equal word sequences are copies: they link with each other and share all links.
+    class_id is the smallest doc_id that links reach. Rows that share a doc_id but not their words are separate texts with links
+    of their own; a NULL doc_id gets NULL class_id and 0 links. No rows give no rows. A pair of similarity s is proposed by at
+    least one band with probability 1 - (1 - s^4)^32: at 0.8 all but 5 pairs in 100 million.
+    """
+    return linked_rows(docs, threshold, tolerance).drop("version")

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from llm_cases import hard_rows, no_rows
+from llm_cases import hard_rows, no_rows, tuples
 
 from hourglass.llm import fingerprint as fp, ngram_join as nj
 
@@ -55,6 +55,19 @@ def test_links_and_classes(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    import corpus_pipeline as cp
+
+    near = near_copies(12, 8)
+    rows = [(1, near[0]), (2, near[1]), (2, "an unrelated text " + " ".join(f"u{i}" for i in range(40)))]
+    rows += [(3, f"own text {k} " + " ".join(f"x{k}_{i}" for i in range(30))) for k in range(20)] + [(3, near[2])]  # one id on most rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = tuples(cp.near_duplicates(spark, docs, ""), "doc_id", "text")
+    assert kept == sorted(r for r in rows if r[1] not in near[1:3])
+    classes = tuples(nj.jaccard_join(docs), "doc_id", "class_id")
+    assert classes.count((2, 2)) == classes.count((2, 1)) == classes.count((3, 1)) == 1 and classes.count((3, 3)) == 20
+
+
 def test_join_of_hard_rows(spark):
     rows = [(r.doc_id, r.class_id, r.n_links) for r in nj.jaccard_join(hard_rows(spark)).collect()]
     assert len(rows) == 14 and (None, None, 0) in rows and (3, 3, 0) in rows and (11, 10, 1) in rows and rows.count((2, 1, 2)) == 2

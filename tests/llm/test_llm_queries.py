@@ -66,6 +66,31 @@ def test_language_stage_keeps_texts_when_there_is_nothing_to_learn(spark):
     assert kept.columns == docs.columns and kept.count() == 10 and kept.filter("doc_id in (3, 4, 9)").count() == 0
 
 
+def test_language_stage_rejects_text_in_no_language(spark):
+    import random
+
+    import corpus_pipeline as cp
+
+    draw = random.Random(4)
+    docs = cp.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    clean = [r.text for r in docs.limit(60).collect() if len(r.text) > 100]
+    noise = [(10**6 + i, "".join(draw.choices([chr(c) for c in range(0x21, 0x7F)], k=600)), None) for i in range(40)]
+    noise += [(2 * 10**6 + i, "".join(draw.sample(t, len(t))), None) for i, t in enumerate(clean[:40])]
+    both = docs.union(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in cp.language_id(spark, both, "").select("doc_id").collect()}
+    ids = {r.doc_id for r in docs.collect()}
+    assert ids <= kept  # clean documents stay, held out of training or not
+    assert len([i for i, _, _ in noise if i not in kept]) >= 0.8 * len(noise)
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    from hourglass.llm.langid import training_sample
+
+    docs = spark.range(20_000).selectExpr("id % 40 doc_id", "concat('text of id ', id % 40) text", "'en' lang").union(spark.range(100, 400).selectExpr("id", "concat('some words ', id)", "'en'"))
+    sample = [text for _, text in training_sample(docs) if len(text) > 8]
+    assert sample and max(map(sample.count, sample)) <= 3  # windows of one text may be equal
+
+
 def test_pipeline_stages_take_hard_rows(spark):
     import corpus_pipeline as cp
 
