@@ -10,22 +10,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hourglass.llm.common import documents, set_aside, settle
 from hourglass.llm.exact import deduplicate
-from hourglass.llm.langid import predict, train, training_sample
-from hourglass.llm.ngram_join import jaccard_join
+from hourglass.llm.langid import Scorer, predict, scrambled, train, training_sample
+from hourglass.llm.ngram_join import linked_rows
 from hourglass.llm.packing import pack
 from hourglass.llm.pii import sanitise
 from hourglass.llm.queries import pattern, vocabulary
 
 
+#: The class of text in no language; no label has this name.
+NO_LANGUAGE = "no language"
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: NULL texts and texts without letters go, however sure the network is of the others they stay.
-    Where there is nothing to learn from, texts with letters stay too."""
+    """Documents that the network finds to be in a language, as given.
+
+    The network learns the labelled languages and, as one more class, scrambled text in none. A text goes where that class wins
+    by more than a limit, which lies halfway between certainty and the most that any window of the training sample gets. NULL
+    texts and texts without letters go. Where there is nothing to learn from, all texts with letters stay.
+    """
     given, back = set_aside(docs, ("doc_id", "text"))
-    net = train(training_sample(docs))
-    if net is None:
+    sample = training_sample(docs)
+    if not sample:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
+    net = train(sample + scrambled(sample, NO_LANGUAGE))
+    most = float(Scorer(net).texts([text for _, text in sample])[:, net.languages.index(NO_LANGUAGE)].max())
     found = predict(given, net)
-    return found.filter("lang_pred <> 'und'").select(*back)
+    return found.filter(f"lang_pred <> 'und' AND NOT (lang_pred = '{NO_LANGUAGE}' AND score > {(1 + most) / 2})").select(*back)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +44,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that 5-gram Jaccard links of 0.8 or more connect, the one with the smallest doc_id. Rows that share a doc_id
-    stay or go together; a NULL doc_id stays."""
-    gone = jaccard_join(docs).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that 5-gram Jaccard links of 0.8 or more connect, the one with the smallest doc_id. A text goes, not an id: rows
+    that share a doc_id are kept or dropped by their own texts; a NULL doc_id stays."""
+    gone = linked_rows(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("__id"), F.col("version").alias("__text")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
