@@ -86,6 +86,33 @@ def with_frames(
     return (out if keep is None else out.where(keep)).drop(_HOME, _BLOCK)
 
 
+def row_blocks(df: DataFrame, by: Sequence[str], position: str, out: str, *, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of about ``rows`` rows per key, however dense its positions are, numbered in position order.
+
+    A mergeable sketch gives each key its cuts, at most two per shuffle partition. A cut position is a block of its own (odd
+    numbers), the open range between two cuts another (even numbers): rows that share one position can then be told apart from
+    those that need an order. Rows without a position get a NULL block, rows without a key are dropped.
+    """
+    parts = max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.groupBy(*by).agg(
+        F.percentile_approx(position, [i / parts for i in range(1, parts)], 20 * parts).alias("__all"), F.count(position).alias("__n")
+    )
+    step = F.greatest(F.lit(1), F.floor(parts / F.greatest(F.lit(1), F.ceil(F.col("__n") / rows))))
+    kept = F.filter("__all", lambda _, i: (i + 1) % step == 0)
+    placed = df.join(found.select(*by, F.array_distinct(kept).alias("__cuts")), list(by))
+    cuts, at = F.col("__cuts"), F.col(position)
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a.lo + a.hi) / 2).cast("int")
+        right = (a.lo < a.hi) & (F.get(cuts, mid) < at)
+        return F.struct(F.when(right, mid + 1).otherwise(a.lo).alias("lo"), F.when(right | (a.lo >= a.hi), a.hi).otherwise(mid).alias("hi"))
+
+    bounds = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    below = F.aggregate(F.sequence(F.lit(0), F.lit(parts.bit_length())), bounds, halve, lambda a: a.lo)
+    number = F.when(at.isNotNull(), 2 * below + F.coalesce(F.get(cuts, below) == at, F.lit(False)).cast("int"))
+    return placed.withColumn(out, number.cast("long")).drop("__cuts")
+
+
 def _blocked(df: DataFrame, position: str, block: int) -> DataFrame:
     return df.withColumn(_BLOCK, F.floor(F.col(position) / block))
 

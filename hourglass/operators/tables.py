@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .cleaning import dedupe
 from .grid import HOUR
+from .ordered import BLOCK_ROWS, row_blocks
 
 
 # ------------------------------------------------------------------------------------------------------------ upserts
@@ -95,11 +96,13 @@ def matured(forecasts: DataFrame, scores: DataFrame, actuals: Mapping[str, tuple
     return out
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_pos: str, right_pos: str, values: Sequence[str], *, block: float, include_equal: bool | str = True) -> DataFrame:
-    """Newest right row at or before each left row of the same key.
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_pos: str, right_pos: str, values: Sequence[str], *, block: float | None = None, rows: int = BLOCK_ROWS, include_equal: bool | str = True) -> DataFrame:
+    """Newest right row at or before each left row of the same key; of right rows at one position the one with the largest values.
 
     Both sides are merged into one ordered stream; the last right value is carried inside a block of positions and the
-    blocks of a key are linked through their last rows, so a hot key is spread over its blocks. Left positions may repeat.
+    blocks of a key are linked through their last rows, so a hot key is spread over its blocks. Blocks hold about ``rows``
+    rows each, or are ``block`` wide where that is given. Left positions may repeat: a position that many rows share is a
+    block that needs no order, so its rows are spread too. Left rows without key or position are dropped.
     ``include_equal`` may name a boolean left column that says per row whether an equal position counts.
     """
     inclusive = F.col(include_equal) if isinstance(include_equal, str) else F.lit(include_equal)
@@ -107,13 +110,21 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_pos: str, r
     r = right.select(*by, F.col(right_pos).alias("__pos"), F.lit(1).alias("__side"), payload.alias("__val"), F.lit(None).alias("__row"))
     lrow = F.struct(*left.columns)
     l = left.select(*by, F.col(left_pos).alias("__pos"), F.when(inclusive, 2).otherwise(0).alias("__side"), F.lit(None).alias("__val"), lrow.alias("__row"))
-    both = r.unionByName(l).withColumn("__blk", F.floor(F.col("__pos") / block))
-    last = both.groupBy(*by, "__blk").agg(F.max_by("__val", F.when(F.col("__val").isNotNull(), F.col("__pos"))).alias("__edge"))
+    both = r.unionByName(l)
+    if block is None:
+        both = row_blocks(both, by, "__pos", "__blk", rows=rows)
+        spot = F.col("__blk") % 2 == 1
+    else:
+        both = both.withColumn("__blk", F.floor(F.col("__pos") / block))
+        spot = F.lit(False)
+    last = both.groupBy(*by, "__blk").agg(F.max("__val").alias("__own"))
     w = Window.partitionBy(*by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    edges = last.select(*by, "__blk", F.last("__edge", ignorenulls=True).over(w).alias("__edge"))
-    inside = Window.partitionBy(*by, "__blk").orderBy("__pos", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = F.coalesce(F.last("__val", ignorenulls=True).over(inside), F.col("__edge"))
-    joined = both.join(edges, [*by, "__blk"]).withColumn("__hit", carried).where(F.col("__row").isNotNull())
+    edges = last.select(*by, "__blk", "__own", F.last("__own", ignorenulls=True).over(w).alias("__edge"))
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = both.where(~spot | F.col("__row").isNotNull()).withColumn("__salt", F.when(spot, F.pmod(F.xxhash64("__row"), F.lit(salts))).otherwise(0))
+    inside = Window.partitionBy(*by, "__blk", "__salt").orderBy("__pos", "__side", "__val").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(spot, F.when(F.col("__side") == 2, F.col("__own"))).otherwise(F.last("__val", ignorenulls=True).over(inside))
+    joined = needed.join(edges, [*by, "__blk"]).withColumn("__hit", F.coalesce(own, F.col("__edge"))).where(F.col("__row").isNotNull())
     return joined.select("__row.*", *[F.col("__hit")[v].alias(v) for v in values], F.col("__hit")["__at"].alias("as_of"))
 
 

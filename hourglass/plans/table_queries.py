@@ -124,7 +124,7 @@ def as_of_reading(t: Tables):
     e = t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     views = e.where("event_type = 'view'").select("event_id", "user_id", "us")
     buys = e.where("event_type = 'purchase'").select("user_id", F.col("us").alias("at"), F.col("value").alias("price"), "ts")
-    out = tb.as_of(views, buys, ["user_id"], "us", "at", ["price", "ts"], block=7 * 86400 * 1_000_000)
+    out = tb.as_of(views, buys, ["user_id"], "us", "at", ["price", "ts"])
     return out.select("event_id", F.col("ts").alias("as_of"), "price")
 
 

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as hs
 from pyspark.sql import functions as F
 
 from hourglass.operators import bootstrap as bs, classify as cl, correlation as co, ranks as rk, regression as rg, scoring as sc
+from hourglass.operators.ordered import row_blocks
 from hourglass.operators.tables import as_of
 
 
@@ -123,6 +124,31 @@ def test_as_of_equals_a_direct_search(spark):
             assert got[i] == (max(before) * 2.0 if before else None)
 
 
+def test_as_of_with_half_of_all_rows_in_one_key_and_hour(spark):
+    rng = np.random.default_rng(11)
+    n, hour = 3000, 3_600_000
+    pos = np.concatenate([40 * hour + rng.integers(0, hour, n // 2), np.full(n // 4, 40 * hour + 777), rng.integers(0, 90 * hour, n // 4)])
+    key = np.concatenate([np.zeros(3 * n // 4, int), rng.integers(0, 5, n // 4)])
+    pdf = pd.DataFrame({"id": np.arange(n), "k": key, "x": pos, "right": rng.random(n) < 0.4})
+    right = pdf[pdf.right].groupby(["k", "x"], as_index=False).id.max()  # ties: the largest value
+    l, r = frame(spark, pdf[~pdf.right][["id", "k", "x"]], "id long, k long, x long"), frame(spark, pdf[pdf.right][["k", "x", "id"]], "k long, at long, v long")
+    for equal in (True, False):
+        got = {x.id: x.v for x in as_of(l, r, ["k"], "x", "at", ["v"], rows=64, include_equal=equal).collect()}
+        want = pd.merge_asof(pdf[~pdf.right].sort_values("x"), right.rename(columns={"id": "v"}).sort_values("x"), on="x", by="k", allow_exact_matches=equal)
+        assert got == {i: None if np.isnan(v) else int(v) for i, v in zip(want.id, want.v, strict=True)}
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = row_blocks(l.select("k", "x").union(r.select("k", "at")), ["k"], "x", "b", rows=64).groupBy("k", "b").count()
+    assert sizes.where("b % 2 = 0").agg(F.max("count")).first()[0] <= 1.5 * n / parts  # what has to be ordered in one task
+    assert sizes.where("b % 2 = 1").agg(F.max("count")).first()[0] >= n // 4
+
+
+def test_as_of_without_rows_or_positions(spark):
+    l, r = spark.createDataFrame([(1, 1, 5), (2, 1, None), (3, None, 5)], "id int, k int, x int"), spark.createDataFrame([(1, 5, 2.0), (1, None, 3.0)], "k int, at int, v double")
+    assert [tuple(x) for x in as_of(l, r, ["k"], "x", "at", ["v"]).collect()] == [(1, 1, 5, 2.0, 5)]
+    assert [tuple(x) for x in as_of(l, r.limit(0), ["k"], "x", "at", ["v"]).collect()] == [(1, 1, 5, None, None)]
+    assert as_of(l.limit(0), r, ["k"], "x", "at", ["v"]).count() == 0
+
+
 def test_neighbourhood_rate_equals_brute_force(spark):
     rng = np.random.default_rng(10)
     train = pd.DataFrame({"c": rng.integers(0, 200, 80), "o": rng.integers(0, 2, 80)})
