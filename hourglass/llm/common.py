@@ -63,22 +63,20 @@ def range_of(value: Column, splits: list[int]) -> Column:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b), where root is the smallest node of its component.
 
-    Each round points every neighbour of a node at the smallest node known there (large star, then small star), so the longest
-    chain halves; it ends when every node but the roots has one link, to a root. A round only shuffles edges and is settled;
-    the driver sees two counts. Empty edges give no rows.
+    Links point from the larger to the smaller node. Each round passes a link on to the smallest node its end is linked to, then
+    ties all that one node is linked to to the smallest of them (large star, then small star), so the longest chain halves; it ends
+    when every node but the roots has one link, to a root. A round only shuffles links and is settled; a root's links are the
+    split side of a left join, whose other side has one row a node. The driver sees one row. Empty edges give no rows.
     """
     links = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
-        if not (n := links.count()):
+        ends = links.selectExpr("a AS n", "1 AS o", "0 AS i").union(links.selectExpr("b AS n", "0 AS o", "1 AS i"))
+        seen = ends.groupBy("n").agg(F.sum("o").alias("o"), F.max("i").alias("i")).agg(F.max(F.col("o") + F.least("i", "o")).alias("most")).first()
+        if seen.most is None or seen.most == 1:
             break
-        roots = links.select("b").distinct()
-        if links.select("a").distinct().count() == n and links.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
-            break
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        down = both.join(least, both.a == least.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        kept = down.join(small, down.a == F.col("n"))
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        down = links.join(least.withColumnRenamed("a", "n"), links.b == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        kept = down.join(down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), F.col("a") == F.col("n"))
         links = settle(kept.select("a", F.col("m").alias("b")).union(kept.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
     else:
         raise RuntimeError("components did not settle")

@@ -1,9 +1,11 @@
 """Jaccard self-join on word 5-grams with Bayesian candidate pruning.
 
-Banded MinHash proposes candidates. Candidate groups are cut into blocks, blocks meet in pairs, and within a pair of blocks
-MinHash values are compared a few at a time: a pair is dropped once the posterior probability that it reaches the threshold is
-below the tolerance. What is left is verified on the exact 5-gram sets. Pairs exist only inside a task; what leaves it is
-one row per document: how many links it has there, and one link that keeps its class together.
+Banded MinHash proposes candidates: texts with one band key. MinHash values are compared a few at a time: a pair is dropped once
+the posterior probability that it reaches the threshold is below the tolerance. Each text is first compared with the smallest
+text of its key, which ties copies together at linear cost; then, inside keys that still hold texts of several groups, those of
+different groups meet. Only pairs that pruning leaves join groups, never a shared key. Groups are verified on the exact 5-gram sets.
+Large keys and groups are cut into blocks that meet in pairs. Pairs exist only inside a task; what leaves it is one row per
+document: how many links it has there, and one link that keeps its class together.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from hourglass.llm.common import components, settle, sliced
 from hourglass.llm.fingerprint import WORDS, mix, shingle_hashes, word_hashes
 
 BANDS, ROWS = 32, 4
-BLOCK = 384
+BLOCK = 384  # texts that meet in one task
+WIDE = 2048  # signatures that meet in one task
 TOLERANCE = 1e-9
 STEP = 16
 SKETCH = "doc_id long, version long, words binary, n int, sig binary, bands array<long>"
@@ -180,33 +183,61 @@ class _Forest:
         return [self.top(x) for x in range(len(self.up))]
 
 
+def plausible_links(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` (a, b, left_sig, right_sig) that pruning leaves."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        need = least_matches(threshold, tolerance)
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u1").reshape(-1, BANDS * ROWS) for k in (2, 3))
+            at, count = np.arange(batch.num_rows), np.zeros(batch.num_rows, "i4")
+            for k, least in enumerate(need):
+                part = slice(k * STEP, (k + 1) * STEP)
+                count = count + (left[at, part] == right[at, part]).sum(1)
+                at, count = at[count >= least], count[count >= least]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["a", "b"])
+
+    return pairs.select("a", "b", "left_sig", "right_sig").mapInArrow(run, "a long, b long")
+
+
 def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts: DataFrame | None = None) -> DataFrame:
     """(a, b, links) for members (root, node, copies, sig) of candidate groups ``root``; with ``texts`` (doc_id, version, text)
     members name the row that holds theirs by doc_id and version.
 
-    Groups of more than BLOCK members are cut into blocks, every pair of blocks is one task group; small groups share task
-    groups. ``a`` is linked to ``b`` (or to itself only); ``links`` counts, with copies, the documents of this task group that
-    are linked to ``a``. Without texts a link is a pair that pruning leaves, with texts one whose exact similarity suffices.
+    Groups of more than a block are cut into blocks, every pair of blocks is one task group; small groups share task groups.
+    ``a`` is linked to ``b`` (or to itself only); ``links`` counts, with copies, the documents of this task group that are linked
+    to ``a``. Without texts members have ``known``, what ties them already, and ``main``, whether that is the tie of most: pairs of
+    one tie are left out, blocks of main members do not meet, and a link is a pair that pruning leaves. With texts it is a pair
+    whose exact similarity suffices.
     """
     import pyarrow as pa
 
     exact = texts is not None
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    block = BLOCK if exact else WIDE
+    members = members.withColumns({"known": F.lit(0).cast("long"), "main": F.lit(False)}) if exact else members
+    sizes = members.groupBy("root").agg(F.count_if(~F.col("main")).alias("others"), F.count_if("main").alias("mains"))
     # a shuffle join at every size: whether the members would fit a broadcast depends on the data
-    rows = members if texts is None else texts.join(members.hint("merge"), ["doc_id", "version"]).dropDuplicates(["node"])
-    small = F.col("blocks") == 1
-    blocked = rows.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = texts.join(members.hint("merge"), ["doc_id", "version"]).dropDuplicates(["node"]) if exact else members
+    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
+    blocked = rows.join(sizes, "root").withColumns({"free": cut("others"), "tied": cut("mains"), "small": F.col("others") + F.col("mains") <= block})
+    place = F.xxhash64("node")
+    blocked = blocked.withColumn("own", F.when(F.col("main"), F.col("free") + F.pmod(place, F.col("tied"))).otherwise(F.pmod(place, F.col("free"))).cast("int"))
     packs = max(1, members.count() // 128)
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))).alias("m")
+    last = F.when(F.col("main"), F.col("free")).otherwise(F.col("free") + F.col("tied")) - 1
+    meets = F.explode(F.transform(F.when(F.col("small"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last)), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))).alias("m")
     dealt = blocked.select("*", meets).select(
-        F.when(small, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("g"), F.when(small, -1).otherwise(F.col("m.i")).alias("i"), F.col("m.j").alias("j"),
-        "root", "node", "copies", "own", "sig", *(["text"] if exact else []),
+        F.when(F.col("small"), F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("g"),
+        F.when(F.col("small"), -1).otherwise(F.col("m.i")).alias("i"), F.when(F.col("small"), -1).otherwise(F.col("m.j")).alias("j"),
+        "root", "node", "known", "copies", "own", "sig", *(["text"] if exact else []),
     )
 
     def compare(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        root, node, copies, own = (table.column(k).to_numpy() for k in ("root", "node", "copies", "own"))
+        root, node, known, copies, own = (table.column(k).to_numpy() for k in ("root", "node", "known", "copies", "own"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(len(node), -1)
         names = owners = None
         if exact:
@@ -219,7 +250,10 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
             same = first == second or first < 0
             left, right = (part, part) if same else (part[own[part] == first], part[own[part] == second])
             i, j = plausible_pairs(sig[left], sig[right], same, threshold, tolerance)
-            if exact and len(i):
+            if not exact:
+                apart = known[left[i]] != known[right[j]]
+                i, j = i[apart], j[apart]
+            elif len(i):
                 mine = np.isin(owners, part)
                 both = common_counts(names[mine], owners[mine], len(node), left, right, i, j)
                 whole = sizes[left[i]] + sizes[right[j]] - both
@@ -235,6 +269,25 @@ def compare_blocks(members: DataFrame, threshold: float, tolerance: float, texts
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long, links long")
 
 
+def plausible_groups(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(node, root): the closure of the pairs of ``reps`` (node, copies, sig, bands) that share a band key and that pruning leaves."""
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    shared = settle(keyed.join(met, "key"))
+    sigs = reps.select("node", "sig")
+    pairs = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.join(sigs.toDF("b", "right_sig").hint("merge"), "b").join(sigs.toDF("a", "left_sig").hint("merge"), "a")
+    stars = settle(components(plausible_links(pairs, threshold, tolerance)))
+    tie = stars.withColumnRenamed("root", "tie")
+    # two texts of a key have met, as one of them is the smallest
+    tagged = shared.filter("n > 2").join(tie, "node", "left").withColumn("known", F.coalesce("tie", "node"))
+    mixed = tagged.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.max(F.when(F.col("node") == F.col("a"), F.col("known"))).alias("centre"))
+    left = tagged.select("key", "node", "known").join(mixed.filter("low < high").select("key", "centre"), "key").join(reps.select("node", "copies", "sig"), "node")
+    members = settle(left.select(F.col("key").alias("root"), "node", "copies", "sig", "known", (F.col("known") == F.col("centre")).alias("main")))
+    across = compare_blocks(members, threshold, tolerance).select("a", "b")
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across))
+
+
 def linked_rows(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, version (hash of the text), class_id and n_links of every row; see ``jaccard_join``.
 
@@ -243,11 +296,7 @@ def linked_rows(docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLE
     rows = settle(sketch(docs).withColumn("node", F.when(F.expr("doc_id IS NOT NULL AND n > 0"), F.xxhash64("words"))))
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "version", "sig", "bands")).alias("f"), F.count("*").alias("copies"))
     reps = settle(first.select("node", "f.doc_id", "f.version", "copies", "f.sig", "f.bands"))
-    keyed = reps.select("node", F.explode("bands").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    groups = components(keyed.join(met, "key").select("a", F.col("node").alias("b")))
-    heads = reps.select("node", "version", "copies", "sig")
-    refined = components(compare_blocks(groups.join(heads, "node"), threshold, tolerance))
+    refined = plausible_groups(reps, threshold, tolerance)
     members = settle(refined.join(reps.select("node", "doc_id", "version", "copies", "sig"), "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     linked = settle(compare_blocks(members, threshold, tolerance, texts))

@@ -46,6 +46,7 @@ def near_copies(n, seed, words=60):
 
 def test_links_and_classes(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK", 9)  # the large group meets in many pairs of blocks
+    monkeypatch.setattr(nj, "WIDE", 5)
     texts = near_copies(40, 1) + near_copies(6, 2, 300) + near_copies(5, 3, 12) + ["lonely text " * 9, "", None, "a b", "a  b", "a b c"]
     shared = " ".join(f"s{i}" for i in range(80))
     texts += [f"{shared} " + " ".join(f"o{k}_{i}" for i in range(60)) for k in range(12)]  # a common passage is no link
@@ -55,6 +56,28 @@ def test_links_and_classes(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_a_shared_band_joins_no_groups(spark, monkeypatch):
+    """Texts that collide in bands but are unlike stay apart; texts of one key that its smallest text does not tie meet in blocks."""
+    from hourglass.llm.common import components
+
+    monkeypatch.setattr(nj, "WIDE", 7)
+    draw = np.random.default_rng(3)
+    wide = nj.BANDS * nj.ROWS
+    bases = draw.integers(0, 256, (5, wide), "u1")
+    sigs = {}
+    for k in range(60):
+        sig = bases[k % 5].copy()
+        sig[draw.integers(0, wide, 8)] = draw.integers(0, 256, 8)
+        sigs[k] = sig
+    rows = [(k, 1, bytearray(s.tobytes()), [7, 8 if k < 30 else 100 + k]) for k, s in sigs.items()]  # all share one key, half a second
+    reps = spark.createDataFrame(rows, "node long, copies long, sig binary, bands array<long>")
+    assert tuples(nj.plausible_groups(reps, 0.8, 1e-9), "node", "root") == [(k, k % 5) for k in range(60)]
+
+    edges = [(i, i + 1) for i in range(20)] + [(50, k) for k in range(51, 90)] + [(90, 89), (91, 91), (40, 20)]
+    want = [(k, 0) for k in [*range(21), 40]] + [(k, 50) for k in range(50, 91)]
+    assert tuples(components(spark.createDataFrame(edges, "a long, b long")), "node", "root") == sorted(want)
+
+
 def test_texts_that_share_an_id_stay_apart(spark):
     import corpus_pipeline as cp
 
