@@ -202,7 +202,7 @@ class RankTokens:
     LONG = 400
     RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG, LONG))
 
-    def __init__(self, path: str, pattern: str, most: int = 320_000_000):
+    def __init__(self, path: str, pattern: str, most: int = 120_000_000):
         import json
 
         import tiktoken
