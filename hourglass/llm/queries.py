@@ -90,7 +90,7 @@ def op10(spark, sf_dir):
 
 @query("op6_disclosure")
 def op6(spark, sf_dir):
-    return find(documents(spark, sf_dir))
+    return find(documents(spark, sf_dir), near=None)
 
 
 @query("op7_byte_cnn")

@@ -68,6 +68,59 @@ def test_words_of_an_entity_in_one_text_and_far_from_it(spark):
     assert clean[1000] == text[1000].replace("mia@mail.co", "[EMAIL]").replace("Quillon", "[NAME]") and "Vexar" not in clean[1001] + clean[1002] and clean[1100] == text[1100]
 
 
+def named_by_brute_force(rows):
+    """Term spans by document, all words of a document being candidates."""
+    word = re.compile(r"[^\W\d_](?:[^\W_]|['-])+[^\W\d_]")
+    words = [{w.lower() for w in word.findall(t)} for _, t in rows]
+    spans = [[(int(a), int(b)) for _, a, b in (s.split(":") for s in base_spans(t).split(",") if s)] for _, t in rows]
+    held = [{t[a:b].lower() for a, b in s} for (_, t), s in zip(rows, spans)]
+    df, out = collections.Counter(w for ws in words for w in ws), {}
+    for i, (doc, text) in enumerate(rows):
+        told = set()
+        for e in held[i]:
+            content = np.log(len(rows) / sum(e in h for h in held))
+            for w in words[i]:
+                both = [t for (_, t), ws, h in zip(rows, words, held) if w in ws and e in h]
+                if content > 0 and 1 - (np.log(df[w] / len(both)) + np.log1p(1 / len(set(both)))) / content >= 0.85:
+                    told.add(w)
+        out[doc] = {(m.start(), m.end()) for m in word.finditer(text) if m[0].lower() in told and not any(a < m.end() and b > m.start() for a, b in spans[i])}
+    return out
+
+
+def term_places(row):
+    return {(int(a), int(b)) for k, a, b in (s.split(":") for s in row.spans.split(",") if s) if k == "term"}
+
+
+def test_every_word_of_a_document_may_give_its_entity_away(spark, tmp_path):
+    from hourglass.llm.queries import QUERIES
+
+    common = "the people of this town were very fond of long walks and of quiet evenings by the river, "
+    rows = [(i, f"{common} number {i}") for i in range(300)] + [(1000 + i, f"Zebulon {common * (i + 2)} wrote from zeb@mail.co {common}end/Quillon") for i in range(4)] + [(2000 + i, f"wrote end from {common}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = dict(rows)
+    got = {r.doc_id: r for r in QUERIES["op6_disclosure"](spark, str(tmp_path)).collect()}
+    for i in range(1000, 1004):
+        assert {text[i][a:b] for a, b in term_places(got[i])} == {"Zebulon", "Quillon"}
+    assert got[0].spans == got[2000].spans == ""
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), near=None).collect()}
+    assert "Zebulon" not in clean[1003] and "Quillon" not in clean[1003] and "[EMAIL]" in clean[1003] and clean[2000] == text[2000]
+
+
+def test_words_of_entities_as_brute_force(spark):
+    draw = random.Random(8)
+    words = ["alpha", "Beta", "gamma's", "del-ta", "eps1lon", "Ζήτα", "été", "kappa,mu", "x/lambda", "no", "🙂 theta"] + [f"rare{c}" for c in "abcdefghijklmnop"]
+    people = [f"p{i}@mail.co" for i in range(8)] + ["10.1.2.3", "alpha@rarea.com"]
+    rows = []
+    for i in range(400):
+        with_any = draw.sample(range(10), draw.randint(0, 2)) if i % 9 == 0 else []
+        traits = [f"Trait{'abcdefghij'[k]}z" for k in with_any if draw.random() < 0.9] + [f"trait{draw.choice('abcdefghij')}z"] * (draw.random() < 0.02)
+        rows.append((i, " ".join(traits + draw.choices(words, k=draw.randint(1, 9)) + [people[k] for k in with_any] + draw.choices(words, k=3))))
+    rows += [(500 + i, rows[9 * i][1]) for i in range(12)] + [(600, " ".join([f"u{i}@mail.co" for i in range(40)] + [f"unique{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]))]
+    got = {r.doc_id: term_places(r) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), near=None).collect()}
+    want = named_by_brute_force(rows)
+    assert got == want and sum(map(len, want.values())) > 60
+
+
 def test_personal_data_of_hard_rows(spark):
     docs = hard_rows(spark)
     assert pii.find(docs).count() == 14 and pii.find(no_rows(spark)).count() == 0
