@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from hourglass.llm import packing
 from hourglass.llm.bpe import encode_decode, read_ranks
-from hourglass.llm.common import WORD_PATTERN, ChunkTokens, RankTokens, library_encoder
+from hourglass.llm.common import WORD_PATTERN, ChunkTokens, RankTokens, WordTokens, library_encoder
 from hourglass.llm.token_files import read_metadata, read_tokens, token_digest, write_tokens
 
 PATTERN = public_tokenizers.PATTERN
@@ -68,6 +68,20 @@ def test_ranks_as_the_whole_text():
     assert [*tokens(texts)] == [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_words_as_the_whole_text_and_merged_once():
+    whole = Tokenizer.from_file(WORDS)
+    whole.encode_special_tokens = True
+    tokens, draw = WordTokens(WORDS, WORD_PATTERN, most=2000), random.Random(4)  # forgets all the time
+    texts = HARD + ["".join(draw.choice("ab é,.\n 's1ZÉİº\u0307") for _ in range(200)) for _ in range(80)]
+    for t in texts:
+        assert tokens([t])[0] == packed(whole.encode(t, add_special_tokens=False).ids), t
+    tokens, merged = WordTokens(WORDS, WORD_PATTERN), []
+    merge = tokens.merge
+    tokens.merge = lambda word: merged.append(word) or merge(word)
+    tokens(["Quillon (quillon) quillon, QUILLON quillon's", "Quillon, 's"])
+    assert sorted(merged) == sorted({"quillon", "(", ")", ",", "'s"})
+
+
 def test_files_hold_ids_in_id_order(spark, tmp_path):
     whole = Tokenizer.from_file(WORDS)
     docs = hard_rows(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
