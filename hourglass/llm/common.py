@@ -6,6 +6,7 @@ import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -196,20 +197,20 @@ class RankTokens:
     own library where every merge makes a token of its own. Strings beyond U+024F (Unicode tables may differ there) and strings
     that may hold long runs (ranks are merged in quadratic time) are left to ``library_encoder``, as is everything if two merges
     make one token. Texts are cut at single spaces and the ids of chunks are remembered in two generations of ``most`` / 2 bytes;
-    texts in which a space touches other white space or the end are encoded whole.
+    texts in which a space touches other white space or the end are encoded whole. Python workers outlive their tasks with what
+    they remember, so ``most`` counts once for every core of an executor; the library is loaded when a string needs it.
     """
 
     LONG = 400
     RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG, LONG))
 
-    def __init__(self, path: str, pattern: str, most: int = 120_000_000):
+    def __init__(self, path: str, pattern: str, most: int = 40_000_000):
         import json
 
         import tiktoken
 
-        self.most, self.held, self.older = most, 0, {}
+        self.path, self.pattern, self.most, self.held, self.older = path, pattern, most, 0, {}
         self.known = _Chunks(self._learn)
-        self.library = library_encoder(path, pattern, False)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = byte_letters()
@@ -225,6 +226,10 @@ class RankTokens:
             self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.coded = [i.to_bytes(4, "little") for i in ids]
 
+    @cached_property
+    def library(self) -> Callable[[list[str]], list[list[int]]]:
+        return library_encoder(self.path, self.pattern, False)
+
     def encode(self, text: str) -> bytes:
         if self.ranked and (text.isascii() or max(text) <= "\u024f") and (len(text) < self.LONG or not self.RUN.search(text)):
             return b"".join(map(self.coded.__getitem__, self.ranked(text)))

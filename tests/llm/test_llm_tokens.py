@@ -82,6 +82,13 @@ def test_words_as_the_whole_text_and_merged_once():
     assert sorted(merged) == sorted({"quillon", "(", ")", ",", "'s"})
 
 
+def test_ranks_hold_little_memory():
+    tokens = RankTokens(BYTES, PATTERN)
+    tokens([f"word{i} x{i}" for i in range(1000)])
+    assert "library" not in vars(tokens) and 0 < tokens.held < tokens.most <= 40_000_000
+    assert tokens(["日本"]) and "library" in vars(tokens)
+
+
 def test_files_hold_ids_in_id_order(spark, tmp_path):
     whole = Tokenizer.from_file(WORDS)
     docs = hard_rows(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
