@@ -9,14 +9,16 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from hourglass.llm.common import ChunkTokens, WordTokens, buckets_wanted, id_splits, library_encoder, range_of, shared_folder, sliced
+from hourglass.llm.common import WORD_PATTERN, ChunkTokens, WordRanks, WordTokens, buckets_wanted, id_splits, library_encoder, range_of, shared_folder, sliced
 
 SCHEMA = "file int, place long, doc_id long, n_tokens long, start_in_file long, tokens array<int>"
 
 
 @lru_cache(maxsize=4)
-def _tokens(path: str, pattern: str, lead: bool) -> ChunkTokens | WordTokens:
-    return ChunkTokens(library_encoder(path, pattern, False), lead) if lead else WordTokens(path, pattern)
+def _tokens(path: str, pattern: str, lead: bool) -> ChunkTokens | WordTokens | WordRanks:
+    if lead:
+        return ChunkTokens(library_encoder(path, pattern, False), lead)
+    return WordRanks(path) if pattern == WORD_PATTERN else WordTokens(path, pattern)
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, pattern: str, lead: bool, end_id: int = 2, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> str:

@@ -12,8 +12,8 @@ from tokenizers import Tokenizer
 
 from hourglass.llm import packing
 from hourglass.llm.bpe import encode_decode, read_ranks
-from hourglass.llm.common import WORD_PATTERN, ChunkTokens, RankTokens, WordTokens, library_encoder
-from hourglass.llm.token_files import read_metadata, read_tokens, token_digest, write_tokens
+from hourglass.llm.common import WORD_PATTERN, ChunkTokens, RankTokens, WordRanks, WordTokens, library_encoder
+from hourglass.llm.token_files import _tokens, read_metadata, read_tokens, token_digest, write_tokens
 
 PATTERN = public_tokenizers.PATTERN
 RANKS, BYTES, WORDS = map(public_tokenizers.path, ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -82,6 +82,21 @@ def test_words_as_the_whole_text_and_merged_once():
     assert sorted(merged) == sorted({"quillon", "(", ")", ",", "'s"})
 
 
+def test_words_by_ranks_as_the_whole_text():
+    whole = Tokenizer.from_file(WORDS)
+    whole.encode_special_tokens = True
+    tokens, draw = _tokens(WORDS, WORD_PATTERN, False), random.Random(6)
+    assert isinstance(tokens, WordRanks) and tokens.ranked
+    words = [w.removesuffix("</w>") for w in whole.get_vocab() if w.isascii()]
+    plain = [" ".join(words[at : at + 60]) for at in range(0, len(words), 60)]
+    plain += ["'", "'s", "''s", "x's't", "'re'r'l\n'l'll", "1's2'", "'S 'LL\"'d", "a\r\t\x85b\xa0'", "\n", "Ⱥ Ⱦ İ"]
+    plain += ["".join(draw.choice("ab é,.\n 's1ZÉİº²''tmdrevl_\t") for _ in range(60)) for _ in range(3000)]
+    texts = plain + HARD
+    want = [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens(plain) == want[: len(plain)] and "library" not in vars(tokens)
+    assert tokens(texts) == want and [tokens([t])[0] for t in HARD] == want[len(plain) :] and tokens([]) == []
+
+
 def test_ranks_hold_little_memory():
     tokens = RankTokens(BYTES, PATTERN)
     tokens([f"word{i} x{i}" for i in range(1000)])
