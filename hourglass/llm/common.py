@@ -310,17 +310,14 @@ class WordTokens:
         return out
 
 
-#: The pattern of the word-end vocabulary's own file: what it matches are the words, the rest is dropped.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-
-
-class WordRanks:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the merge ranks of the word-end vocabulary at ``path``.
-
-    Equals ``WordTokens`` with WORD_PATTERN. All texts of a call are cut into words by array operations on the classes of their
-    characters and merged by one call of the tiktoken library; nothing is remembered. A NUL ends a word: its byte merges with the
-    one before it first of all. Texts beyond U+024F, with a NUL or with a word over LONG bytes (ranks are merged in quadratic time)
-    are left to ``WordTokens``, as is everything if two merges make one token.
+class _Ranks:
+    """Ids of texts as little-endian unsigned 32-bit bytes, by the merge ranks of the vocabulary at ``path``; nothing is remembered.
+
+    All texts of a call are cut into pieces by array operations on the classes of their characters and merged by one call of the
+    tiktoken library, a NUL after each piece and \\x01 as a piece of its own after each text. Texts beyond U+024F, with one of these
+    two characters or with a piece over LONG bytes (ranks are merged in quadratic time) are left to ``library``, as is everything if
+    two merges make one token. With a suffix for word ends in the vocabulary, the NUL belongs to the piece and stands for it: its byte
+    merges with the one before it first of all.
     """
 
     LONG = 400
@@ -336,45 +333,47 @@ class WordRanks:
         self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        letters, end = byte_letters(), model["end_of_word_suffix"]
+        letters, suffix = byte_letters(), model.get("end_of_word_suffix") or ""
         byte = {c: bytes([b]) for b, c in enumerate(letters)}
-        raw = lambda t: b"".join(map(byte.__getitem__, t.removesuffix(end))) + b"\0" * t.endswith(end)
-        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 0]): 256 + b for b in range(256)}
-        ids = [model["vocab"].get(c) for c in [*letters, *[c + end for c in letters]]]
+        raw = lambda t: b"".join(map(byte.__getitem__, t.removesuffix(suffix))) + b"\0" * (suffix != "" and t.endswith(suffix))
+        ranks = {bytes([b]): b for b in range(256)} | ({bytes([b, 0]): 256 + b for b in range(256)} if suffix else {})
+        ids = [model["vocab"].get(c) for c in [*letters, *([c + suffix for c in letters] if suffix else ())]]
         for merge in model["merges"]:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             ranks[raw(left) + raw(right)] = len(ids)
             ids.append(model["vocab"][left + right])
         self.ranked = None
         if len(ranks) == len(ids) and None not in ids:
-            self.ranked = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={"\0\0": len(ids)}).encode_to_numpy
-            self.ids, self.text_end = np.array(ids, "<u4"), ranks[b"\n\0"]
+            piece = r"[^\x00]+\x00" if suffix else r"[^\x00]+"
+            self.ranked = tiktoken.Encoding("ranks", pat_str=piece, mergeable_ranks=ranks, special_tokens={"\0\0\0": len(ids)}).encode_to_numpy
+            self.ids, self.text_end = np.array(ids, "<u4"), ranks[b"\x01\0" if suffix else b"\x01"]
         self.kinds = np.full(1 << 16, self.OTHER, "u1")
         known = "".join(map(chr, range(0x3000)))  # small letters of those below U+0250 included
-        for kind, pattern in ((self.SPACE, r"\s"), (self.LETTER, r"\p{L}"), (self.NUMBER, r"\p{N}")):
+        for kind, pattern in ((self.SPACE, r"\s"), (self.LETTER, r"\p{L}"), (self.NUMBER, r"\p{N}"), (self.END, r"\x01")):
             self.kinds[[ord(c) for c in regex.findall(pattern, known)]] = kind
-        self.kinds[ord("\n")] = self.END
 
-    @cached_property
-    def library(self) -> WordTokens:
-        return WordTokens(self.path, WORD_PATTERN)
+    def _cut(self, chars, kinds):
+        """Marks in the order of ``chars``: a piece starts there. Characters that no piece has become NULs."""
+        raise NotImplementedError
 
-    def _words(self, texts: list[str]) -> str:
-        """The words of WORD_PATTERN in lower-case ``texts``, a NUL after each; line ends of their own end the texts."""
+    def _contractions(self, chars, kinds, starts, free) -> None:
+        """A quote that starts a piece (``free``: by the place before it) and s, t, m, d, re, ve or ll are one piece."""
         import numpy as np
 
-        chars = np.frombuffer("\n".join([*[t.replace("\n", " ") for t in texts], "", ""]).encode("utf-16-le"), "<u2").copy()
-        kinds = self.kinds[chars]
-        starts = np.concatenate([[False], (kinds[1:] != kinds[:-1]) | (kinds[1:] == self.NUMBER) | (kinds[1:] == self.END)])
         quotes = np.flatnonzero(chars[:-2] == ord("'"))
-        quotes = quotes[(quotes == 0) | (kinds[quotes - 1] != self.OTHER)]
+        quotes = quotes[(quotes == 0) | free[quotes - 1]]
         first, second = chars[quotes + 1], chars[quotes + 2]
         short = np.isin(first, [*map(ord, "stmd")])
         long = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
         starts[quotes[short | long] + 1] = False
         starts[quotes[short] + 2] = True
         starts[quotes[long] + 3] = True
-        chars[kinds == self.SPACE] = 0
+
+    def _pieces(self, texts: list[str]) -> str:
+        import numpy as np
+
+        chars = np.frombuffer("\x01".join([*texts, "", ""]).encode("utf-16-le"), "<u2").copy()
+        starts = self._cut(chars, self.kinds[chars])
         out = np.zeros(len(chars) + np.count_nonzero(starts), "<u2")
         out[np.arange(len(chars)) + np.cumsum(starts)] = chars
         return out[:-1].tobytes().decode("utf-16-le")
@@ -382,19 +381,19 @@ class WordRanks:
     def _plain(self, text: str) -> bool:
         import numpy as np
 
-        return "\0" not in text and (text.isascii() or np.frombuffer(text.encode("utf-16-le"), "<u2").max() <= 0x24F)
+        return "\0" not in text and "\x01" not in text and (text.isascii() or np.frombuffer(text.encode("utf-16-le"), "<u2").max() <= 0x24F)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         plain = [self.ranked is not None and self._plain(t) for t in texts]
-        words = self._words([t.lower() for t, ok in zip(texts, plain, strict=True) if ok])
-        ends = np.flatnonzero(np.frombuffer(words.encode(), "u1") == 0)
-        if np.diff(ends, prepend=-1).max(initial=0) > self.LONG:
-            return [c for t in texts for c in self([t])] if len(texts) > 1 else self.library(texts)
-        if not words:
+        pieces = self._pieces([t for t, ok in zip(texts, plain, strict=True) if ok])
+        if not pieces:
             return self.library(texts)
-        ranks = self.ranked(words, disallowed_special=())
+        ends = np.flatnonzero(np.frombuffer(pieces.encode(), "u1") == 0)
+        if np.diff(ends, prepend=-1).max() > self.LONG:
+            return [c for t in texts for c in self([t])] if len(texts) > 1 else self.library(texts)
+        ranks = self.ranked(pieces, disallowed_special=())
         cuts = (4 * np.flatnonzero(ranks == self.text_end)).tolist()
         coded = self.ids[ranks].tobytes()
         found = iter([coded[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts, strict=False)])
@@ -402,6 +401,52 @@ class WordRanks:
         return [next(found if ok else rest) for ok in plain]
 
 
+#: The pattern of the word-end vocabulary's own file: what it matches are the words, the rest is dropped.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+class WordRanks(_Ranks):
+    """Equals ``WordTokens`` with WORD_PATTERN: words in lower case."""
+
+    @cached_property
+    def library(self) -> WordTokens:
+        return WordTokens(self.path, WORD_PATTERN)
+
+    def _pieces(self, texts: list[str]) -> str:
+        return super()._pieces([t.lower() for t in texts])
+
+    def _cut(self, chars, kinds):
+        import numpy as np
+
+        starts = np.concatenate([[False], (kinds[1:] != kinds[:-1]) | (kinds[1:] == self.NUMBER) | (kinds[1:] == self.END)])
+        self._contractions(chars, kinds, starts, kinds != self.OTHER)
+        chars[kinds == self.SPACE] = 0
+        return starts
+
+
+#: The pattern of byte-level vocabularies: a space belongs to what follows it, other white space stands alone.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class ByteRanks(_Ranks):
+    """Equals ``RankTokens`` with BYTE_PATTERN."""
+
+    @cached_property
+    def library(self) -> RankTokens:
+        return RankTokens(self.path, BYTE_PATTERN)
+
+    def _cut(self, chars, kinds):
+        import numpy as np
+
+        starts = np.concatenate([[False], (kinds[1:] != kinds[:-1]) | (kinds[1:] == self.END)])
+        space, blank = kinds == self.SPACE, chars == ord(" ")
+        last = np.flatnonzero(space[:-1] & ~space[1:] & (kinds[1:] != self.END))  # of white space before something else
+        starts[last[(last > 0) & space[last - 1]]] = True
+        starts[last[blank[last]] + 1] = False
+        self._contractions(chars, kinds, starts, (kinds != self.OTHER) & ~blank)
+        return starts
+
+
 def set_aside(df: DataFrame, used: Iterable[str]) -> tuple[DataFrame, list[Column]]:
     """The frame with all columns but ``used`` renamed out of the way, and the columns that name them back, in their order."""
     used = set(used)

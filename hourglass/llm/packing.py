@@ -13,7 +13,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hourglass.llm.common import RankTokens, settle, sliced
+from hourglass.llm.common import BYTE_PATTERN, ByteRanks, RankTokens, settle, sliced
 
 LENGTH = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -22,8 +22,8 @@ Group = tuple[tuple[tuple[int, int], ...], int]  # runs (length, how many) of a
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str, pattern: str) -> RankTokens:
-    return RankTokens(path, pattern)
+def _tokens(path: str, pattern: str) -> ByteRanks | RankTokens:
+    return ByteRanks(path) if pattern == BYTE_PATTERN else RankTokens(path, pattern)
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENGTH, end_id: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from hourglass.llm import packing
 from hourglass.llm.bpe import encode_decode, read_ranks
-from hourglass.llm.common import WORD_PATTERN, ChunkTokens, RankTokens, WordRanks, WordTokens, library_encoder
+from hourglass.llm.common import BYTE_PATTERN, WORD_PATTERN, ByteRanks, ChunkTokens, RankTokens, WordRanks, WordTokens, library_encoder
 from hourglass.llm.token_files import _tokens, read_metadata, read_tokens, token_digest, write_tokens
 
 PATTERN = public_tokenizers.PATTERN
@@ -104,6 +104,21 @@ def test_ranks_hold_little_memory():
     assert tokens(["日本"]) and "library" in vars(tokens)
 
 
+def test_packing_remembers_no_texts_and_codes_as_the_whole_text():
+    whole = Tokenizer.from_file(BYTES)
+    whole.encode_special_tokens = True
+    tokens, draw = packing._tokens(BYTES, PATTERN), random.Random(8)
+    assert isinstance(tokens, ByteRanks) and tokens.ranked and BYTE_PATTERN == PATTERN
+    words = [w for w in (t.replace("\u0120", " ") for t in whole.get_vocab()) if w.isascii() and "\x00" not in w and "\x01" not in w]
+    plain = ["x".join(words[at : at + 60]) for at in range(0, len(words), 60)] + [" ".join(words[at : at + 60]) for at in range(0, len(words), 60)]
+    plain += ["'", "'s", " 's", "\n's", "\n 's", " \n's", "''s", "x's't", "'re'r'l\n'l'll", "1's22'", "'S 'LL\"'d", "a\r\t\x85b\xa0'", "\n", "a \n ", "  a", " \n\n"]
+    plain += ["".join(draw.choice("ab é,.\n  's1ZÉº²''tmdrevl_\t") for _ in range(60)) for _ in range(3000)]
+    texts = plain + HARD + ["a\x01b", "\x01"]
+    want = [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens(plain) == want[: len(plain)] and not {"library", "held", "known"} & vars(tokens).keys()
+    assert tokens(texts) == want and [tokens([t])[0] for t in texts[len(plain) :]] == want[len(plain) :]
+
+
 def test_files_hold_ids_in_id_order(spark, tmp_path):
     whole = Tokenizer.from_file(WORDS)
     docs = hard_rows(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
