@@ -145,17 +145,29 @@ def train(sample: list[tuple[str, str]], epochs: int = 4, batch: int = 64, rate:
 
 
 class Scorer:
-    """The network as look-up tables: filters of width w are sums over byte pairs and a last byte."""
+    """The network as look-up tables: filters of width w are sums over byte pairs and a last byte.
+
+    Tables cover the pairs of bytes seen so far, printable ASCII from the start, and are made anew for new bytes; sums stay the same.
+    """
 
     def __init__(self, net: Net):
         import numpy as np
 
-        self.net, self.tables = net, []
-        for w, f in zip(WIDTHS, net.filters, strict=True):
-            single = [net.embedding @ f[k * EMBEDDING : (k + 1) * EMBEDDING] for k in range(w)]
-            pairs = [(single[k][:, None] + single[k + 1][None]).reshape(65536, -1).astype("f4") for k in range(0, w - 1, 2)]
-            self.tables.append((w, pairs, single[-1].astype("f4") if w % 2 else None))
+        self.net, self.seen = net, np.zeros(256, bool)
         self.bias = np.concatenate(net.biases)
+        self._cover(np.r_[0, 0x20:0x7F])
+
+    def _cover(self, values) -> None:
+        import numpy as np
+
+        self.seen[values] = True
+        used = np.flatnonzero(self.seen)
+        self.place, self.tables = np.zeros(256, "i4"), []
+        self.place[used] = np.arange(len(used))
+        for w, f in zip(WIDTHS, self.net.filters, strict=True):
+            single = [(self.net.embedding @ f[k * EMBEDDING : (k + 1) * EMBEDDING])[used] for k in range(w)]
+            pairs = [(single[k][:, None] + single[k + 1][None]).reshape(len(used) ** 2, -1).astype("f4", copy=False) for k in range(0, w - 1, 2)]
+            self.tables.append((w, pairs, single[-1].astype("f4") if w % 2 else None))
 
     def windows(self, x):
         """Probabilities of the languages for rows of WINDOW bytes."""
@@ -163,8 +175,11 @@ class Scorer:
 
         out = []
         for at in range(0, len(x), 64):
-            part = x[at : at + 64]
-            pair = part[:, :-1].astype("i4") * 256 + part[:, 1:]
+            present = np.flatnonzero(np.bincount(x[at : at + 64].ravel(), minlength=256))
+            if not self.seen[present].all():
+                self._cover(present)
+            part, size = self.place[x[at : at + 64]], int(self.seen.sum())
+            pair = part[:, :-1] * size + part[:, 1:]
             hidden = []
             for w, pairs, last in self.tables:
                 n = WINDOW - w + 1

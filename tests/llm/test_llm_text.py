@@ -157,6 +157,16 @@ def test_tables_score_as_the_network_itself():
     assert np.allclose(langid.Scorer(net).windows(x), p, atol=1e-4) and p[0].argmax() == 0 and p[1].argmax() == 1
 
 
+def test_language_tables_cover_the_bytes_seen():
+    net = langid.train([("a", "plain words of one kind " * 5), ("b", "0123 456 789 " * 9)] * 20, epochs=1)
+    scorer, texts = langid.Scorer(net), ["some plain words", "12 34 words " * 60, ""]
+    before = scorer.texts(texts)
+    assert sum(table.nbytes for _, pairs, _ in scorer.tables for table in pairs) < 4_000_000
+    odd = scorer.texts(["".join(map(chr, range(0x900)))])
+    again = langid.Scorer(net).texts(["".join(map(chr, range(0x900)))])
+    assert scorer.seen.sum() > 160 and (scorer.texts(texts) == before).all() and (odd == again).all()
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
