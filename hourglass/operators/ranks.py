@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import cut_lineage
+
 WIDTHS = 512
 PER_OCTAVE = 32
 SMALLEST = 1e-9
@@ -104,9 +106,11 @@ def pick_quantiles(
 def thinned(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Rows (by, value, n, gap) from which the quantiles at ``probs`` can be read exactly, without a shuffle of all values.
 
-    A mergeable sketch brackets every wanted rank. In a second pass only values inside a bracket stay apart; those between two
-    brackets are counted together, before anything is shuffled (``gap`` 1, with their smallest value standing for all). Of a large
-    group about a thousandth per probability is left, ties counted once; a value that a large share of rows have is one row.
+    A mergeable sketch brackets every wanted rank. Its brackets depend on the order in which partial sketches arrive, so they are
+    settled: no later pass, nor a re-run after a lost executor, sees others. In a second pass only values inside a bracket stay
+    apart; those between two brackets are counted together, before anything is shuffled (``gap`` 1, with their smallest value
+    standing for all). Of a large group about a thousandth per probability is left, ties counted once; a value that a large share
+    of rows have is one row.
     """
     v = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull()).select(*by, value)
@@ -119,7 +123,8 @@ def thinned(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]
         return F.when(F.col("__n") >= MANY, chosen[0]).when(F.col("__n") >= SOME, chosen[1]).otherwise(everything[side])
 
     sketch = F.percentile_approx(v, shares, ACCURACY) if shares else F.array().cast("array<double>")
-    ends = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__s")).select(*by, F.array(*[end(p, side) for p in probs for side in (-1, 1)]).alias("__e"))
+    sketched = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__s"))
+    ends = cut_lineage(sketched.select(*by, F.array(*[end(p, side) for p in probs for side in (-1, 1)]).alias("__e")))
     joined = rows.join(ends, list(by)) if by else rows.withColumn("__e", ends.scalar())
     above = [v >= F.get("__e", F.lit(2 * i)) for i in range(len(probs))]
     beyond = [v > F.get("__e", F.lit(2 * i + 1)) for i in range(len(probs))]
@@ -138,7 +143,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     The input is read twice (sketch, counts around the wanted ranks); callers settle an input that is dear. Should a rank ever lie
     outside its bracket, the query fails (without groups: gives NULL) rather than give a neighbour's value.
     """
-    few = thinned(df, by, value, list(dict.fromkeys(probs.values())))
+    few = cut_lineage(thinned(df, by, value, list(dict.fromkeys(probs.values()))))  # the ranges, the offsets and the pick read one table
     counts = value_counts(few, by, value, {"gap": F.col("gap")}, weight=F.col("n"), widths=widths)
     picked = pick_quantiles(counts.withColumn(value, F.when(F.col("gap") == 0, F.col(value))), by, value, probs)
     sure = [F.coalesce(name, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).alias(name) for name in probs]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from hourglass.operators import ranks
@@ -41,3 +42,23 @@ def test_large_groups_are_thinned_before_the_shuffle(spark):
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "g int, v double")
     assert ranks.quantiles(empty, ["g"], "v", PROBS).collect() == [] and ranks.quantiles(empty, [], "v", PROBS).collect()[0].d is None
+
+
+def test_brackets_are_the_same_in_every_pass(spark):
+    """Which rows a partial sketch gets, and in what order, moves its brackets; a cluster does not fix it, and here each reading differs."""
+
+    def dealt(batches):
+        rows = pa.Table.from_batches(batches)
+        yield from rows.take(np.random.default_rng().permutation(rows.num_rows)).to_batches()
+
+    n = 300_000
+    f = pd.DataFrame({"g": np.arange(n) % 2, "v": np.random.default_rng(7).normal(50, 20, n) ** 3})
+    df = spark.createDataFrame(f).coalesce(1).mapInArrow(dealt, "g bigint, v double")
+    probs = {"a": 0.5, "b": 0.9, "c": 0.95}
+    reuse = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ranks.quantiles(df, ["g"], "v", probs).toPandas().set_index("g").sort_index()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert np.allclose(got.to_numpy(float), f.groupby("g").v.quantile(list(probs.values())).unstack().to_numpy(), rtol=1e-12)
